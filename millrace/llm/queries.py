@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
 from .mixing import mix_sources
+from .neardup import near_duplicates
+from .toxicity import toxicity
 from .warc import warc_round_trip
 
 
@@ -14,6 +16,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
@@ -31,7 +37,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_documents(spark, sf_dir)).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op6_mix_sources, op7_warc, op8_license_scan)}
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), k=4, percent=80).drop("text_key")
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op6_mix_sources, op7_warc, op8_license_scan, op9_near_duplicates)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
