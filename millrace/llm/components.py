@@ -7,31 +7,35 @@ from pyspark.sql import DataFrame, functions as F
 from .storage import Table
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+EDGES_PER_TASK = 200_000
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> Table:
-    """Table (u, v): every node u that has an edge, but for the least of its component v, once. Nodes are longs."""
+    """Table (u, v): every node u that has an edge, but for the least of its component v, once. Nodes are longs.
+
+    Every step is written out and runs in as many tasks as its edges need. The least neighbours are written before they
+    are joined: they have one row per node, so the edges of a hot node can be split over tasks.
+    """
     spark = edges.sparkSession
-    oriented = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    now = Table(spark, oriented, "edges")
-    state = _state(now.df)
-    for _ in range(max_rounds if state[0] else 0):
-        both = now.df.union(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
-        # A node of any degree is one row of `least`; the edge side of the join can be split.
-        large = Table(spark, both.join(least, both.u == least.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
-        low = large.df.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        hung = large.df.join(low, large.df.u == low.k)
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        after = Table(spark, small, "small-star")
-        large.drop()
-        now.drop()
-        now, before = after, state
-        state = _state(now.df)
-        if state == before:
+
+    def kept(df: DataFrame, tag: str) -> Table:
+        return Table(spark, df.coalesce(tasks), tag)
+
+    now = Table(spark, edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), "edges")
+    state, tasks = None, 1
+    for _ in range(max_rounds):
+        before, state = state, tuple(now.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        tasks = max(1, state[0] // EDGES_PER_TASK)
+        if state == before or not state[0]:
             return now
-    if state[0]:
-        raise RuntimeError("components did not settle")
-    return now
+        both = now.df.union(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = kept(both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m")), "least")
+        large = kept(both.join(least.df, both.u == least.df.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct(), "large-star")
+        low = kept(large.df.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")), "least")
+        hung = large.df.join(low.df, large.df.u == low.df.k)
+        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.df.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").coalesce(tasks).distinct()
+        after = kept(small, "small-star")
+        for used in (now, least, large, low):
+            used.drop()
+        now = after
+    raise RuntimeError("components did not settle")

@@ -179,24 +179,27 @@ def near_duplicates(
 
     # Nodes of one member are of no interest; the others by their least member.
     first = nodes(reps.df.select("rid", "n", "signature"), first_depth)
-    heads = first.groupBy("node").agg(F.min(F.struct("rid", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = Table(spark, first.join(heads, "node").select("node", "rid", "n", "head", "members"), "nodes")
-    fits = 100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n")
-    star = Table(spark, met.df.where((F.col("rid") != F.col("head.rid")) & fits).select(F.col("rid").alias("u"), F.col("head.rid").alias("v")).distinct(), "star")
-    wanted = met.df.select("rid").distinct()
-    chosen = reps.df.join(wanted, "rid").select("rid", F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"))
+    # The heads are written before they are joined: one row per node, so the members of a hot node can be split.
+    heads = Table(spark, first.groupBy("node").agg(F.min("rid").alias("head"), F.min_by("n", "rid").alias("head_n"), F.count(F.lit(1)).alias("members")).where("members > 1"), "heads")
+    met = Table(spark, first.join(heads.df, "node").select("node", "rid", "n", "head", "head_n"), "nodes")
+    fits = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
+    star = Table(spark, met.df.where((F.col("rid") != F.col("head")) & fits).select(F.col("rid").alias("u"), F.col("head").alias("v")).distinct(), "star")
+    wanted = Table(spark, met.df.select("rid").distinct(), "wanted")
+    chosen = reps.df.join(wanted.df, "rid").select("rid", F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"))
     # Equal (id, text) pairs stand for the same set, so any one of repeated rows will do.
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))).select("rid", "text")
     sets = Table(spark, texts.mapInArrow(_sets(k), "rid long, shingles array<long>"), "sets")
-    sets.df = sets.df.dropDuplicates(["rid"]) if reps.df.groupBy("doc_id", "text_key").count().where("count > 1").head(1) else sets.df
+    if sets.df.count() > wanted.df.count():
+        sets = Table(spark, sets.df.dropDuplicates(["rid"]), "sets")
     links = [Table(spark, _verified(star.df, sets.df, percent), "links")]
     settled = components(links[0].df)
 
     depth, here = first_depth, met.df.select("node", "rid", "n")
     while True:
         marked = here.join(settled.df.select(F.col("u").alias("rid"), F.col("v").alias("c")), "rid", "left").select("node", "rid", "n", F.coalesce("c", "rid").alias("comp"))
-        mixed = marked.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node", "members")
-        open_ = Table(spark, marked.join(mixed, "node"), f"open-{depth}")
+        marked = Table(spark, marked, "marked")
+        mixed = Table(spark, marked.df.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node", "members"), "mixed")
+        open_ = Table(spark, marked.df.join(mixed.df, "node"), f"open-{depth}")
         small = open_.df.where(F.col("members") <= small_node)
         other = small.select("node", F.col("rid").alias("v"), F.col("n").alias("m"), F.col("comp").alias("other"))
         pairs = small.withColumnRenamed("rid", "u").join(other, "node").where((F.col("u") > F.col("v")) & (F.col("comp") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
@@ -214,17 +217,19 @@ def near_duplicates(
             break
         depth = min(depth + 2, COORDINATES)
         again = nodes(reps.df.join(huge, "rid").select("rid", "n", "signature"), depth)
-        tops = again.groupBy("node").agg(F.min_by(F.struct("rid", "n"), F.xxhash64("rid")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-        met = Table(spark, again.join(tops, "node").select("node", "rid", "n", "head", "members"), "nodes")
-        star = Table(spark, met.df.where((F.col("rid") != F.col("head.rid")) & fits).select(F.greatest("rid", "head.rid").alias("u"), F.least("rid", "head.rid").alias("v")).distinct(), "star")
+        by_hash = F.xxhash64("rid")
+        heads = Table(spark, again.groupBy("node").agg(F.min_by("rid", by_hash).alias("head"), F.min_by("n", by_hash).alias("head_n"), F.count(F.lit(1)).alias("members")).where("members > 1"), "heads")
+        met = Table(spark, again.join(heads.df, "node").select("node", "rid", "n", "head", "head_n"), "nodes")
+        star = Table(spark, met.df.where((F.col("rid") != F.col("head")) & fits).select(F.greatest("rid", "head").alias("u"), F.least("rid", "head").alias("v")).distinct(), "star")
         links.append(Table(spark, _verified(star.df, sets.df, percent), "links"))
         settled = components(_union([x.df for x in links]))
         here = met.df.select("node", "rid", "n")
     final = components(_union([x.df for x in links])) if len(links) > 1 else settled
     member = reps.df.join(final.df, reps.df.rid == final.df.u, "left").select("class", "least", F.coalesce("v", "rid").alias("comp"))
-    lowest = member.groupBy("comp").agg(F.min("least").alias("component_id"))
-    # Components of one class need no join; the class side has one row per class, so a hot class can be split.
-    classes = member.join(lowest, "comp").select("class", "component_id")
+    member = Table(spark, member, "members")
+    lowest = Table(spark, member.df.groupBy("comp").agg(F.min("least").alias("component_id")), "lowest")
+    # One row per component, then one row per class: the other sides can be split where they are hot.
+    classes = member.df.join(lowest.df, "comp").select("class", "component_id")
     done = signed.df.select("doc_id", "text_key", "n_shingles", "class").join(classes, "class", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return done.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
