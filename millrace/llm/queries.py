@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .sharding import shard_documents
 from .toxicity import toxicity
 from .warc import warc_round_trip
 
@@ -16,6 +18,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -24,6 +30,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
@@ -41,7 +51,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), k=4, percent=80).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op6_mix_sources, op7_warc, op8_license_scan, op9_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_toxicity, op3_exact_dedup, op4_decontaminate, op6_mix_sources, op7_warc, op8_license_scan, op9_near_duplicates)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
