@@ -97,16 +97,23 @@ class Model:
 
 def fit_logistic(found: np.ndarray, cuts: np.ndarray, label: np.ndarray, importance: np.ndarray, ratio: np.ndarray, penalty: float = 0.002, steps: int = 80) -> Model:
     """Weighted logistic regression on presence times ``ratio``: limited-memory BFGS with backtracking."""
-    doc = np.repeat(np.arange(len(label)), np.diff(cuts))
-    scale = ratio[found]
     mass = importance / importance.sum()
+    # Blocks of documents with about a million entries each bound what a step holds beside the features themselves.
+    edges = np.unique(np.searchsorted(cuts, np.append(np.arange(0, cuts[-1], 1 << 20), cuts[-1])))
+    blocks = [(a, b) for a, b in zip(np.append(0, edges), np.append(edges, len(label)), strict=True) if a < b]
 
     def loss(theta):
-        margin = np.bincount(doc, theta[found] * scale, len(label)) + theta[-1]
+        scaled, margin = theta[:-1] * ratio, np.empty(len(label))
+        for a, b in blocks:
+            doc = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(cuts[a : b + 1]))
+            margin[a:b] = np.bincount(doc, scaled[found[cuts[a] : cuts[b]]], b - a) + theta[-1]
         signed = np.where(label == 1, margin, -margin)
         value = float(mass @ np.logaddexp(0, -signed)) + 0.5 * penalty * float(theta[:-1] @ theta[:-1])
         pull = mass * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - label)
-        grad = np.append(np.bincount(found, pull[doc] * scale, len(theta) - 1) + penalty * theta[:-1], pull.sum())
+        grad = np.append(penalty * theta[:-1], pull.sum())
+        for a, b in blocks:
+            pulls = np.repeat(pull[a:b], np.diff(cuts[a : b + 1]))
+            grad[:-1] += np.bincount(found[cuts[a] : cuts[b]], pulls, len(theta) - 1) * ratio
         return value, grad
 
     theta = np.zeros(len(ratio) + 1)
@@ -144,7 +151,7 @@ def fit_logistic(found: np.ndarray, cuts: np.ndarray, label: np.ndarray, importa
     return Model((theta[:-1] * ratio).astype(np.float32), float(theta[-1]))
 
 
-def train(df: DataFrame, labels: DataFrame, sample_docs: int = 1500, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(df: DataFrame, labels: DataFrame, sample_docs: int = 600, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on the rows of ``df`` that ``labels`` marks 0 or 1; conflicting labels of an id count as 1.
 
     The counts behind the ratios cover all labelled rows; the regression takes about ``sample_docs`` documents of each
@@ -199,7 +206,7 @@ def with_scores(df: DataFrame, model: Model, text_col: str = "text", out: str =
     return df.mapInArrow(run, schema)
 
 
-def toxicity(df: DataFrame, labels: DataFrame, sample_docs: int = 1500) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, sample_docs: int = 600) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
     Labels of ids whose crc32 (as text) leaves 2 on division by 4 are never looked at. A null id has no label and is
