@@ -10,6 +10,7 @@ from .licenses import license_scan
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .sharding import shard_documents
+from .suffix_dedup import remove_repeats
 from .toxicity import toxicity
 from .warc import warc_round_trip
 
@@ -51,7 +52,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), k=4, percent=80).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_toxicity, op3_exact_dedup, op4_decontaminate, op6_mix_sources, op7_warc, op8_license_scan, op9_near_duplicates)}
+def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_shards, op2_toxicity, op3_exact_dedup, op4_decontaminate, op6_mix_sources, op7_warc, op8_license_scan, op9_near_duplicates, op10_remove_repeats)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""

@@ -45,6 +45,14 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def flat_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``flat``, for a binary column without nulls."""
+    buffers = column.buffers()
+    offsets = np.frombuffer(buffers[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
