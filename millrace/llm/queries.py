@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .context_mixing import lm_scores
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
@@ -35,6 +36,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_documents(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
@@ -56,7 +61,7 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_toxicity, op3_exact_dedup, op4_decontaminate, op6_mix_sources, op7_warc, op8_license_scan, op9_near_duplicates, op10_remove_repeats)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_toxicity, op3_exact_dedup, op4_decontaminate, op5_lm_scores, op6_mix_sources, op7_warc, op8_license_scan, op9_near_duplicates, op10_remove_repeats)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
