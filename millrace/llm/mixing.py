@@ -92,7 +92,7 @@ def mix_sources(
     temperature: float = 0.5,
     block_rows: int = 32,
     carry: tuple[str, ...] = (),
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 4096,
 ) -> DataFrame:
     """Every row with its place in the mixture: doc_id, source, block, slot, place, position (gapless from 0).
 
@@ -108,10 +108,9 @@ def mix_sources(
         weights = {s: n**temperature for s, n in counts.items()}
     if missing := [s for s in counts if not weights.get(s, 0) > 0]:
         raise ValueError(f"sources without a positive weight: {missing[:5]}")
-    total = sum(counts.values())
     phases = spark.createDataFrame(plan(counts, weights, block_rows, max(1024, 4 * len(counts))), PLAN)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(6), F.col(id_col)).alias("__hash"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
-    ranked = spread_rank(rows, ["source"], "__hash", ["doc_id"], max(1, math.ceil(total / bucket_rows)), "__rank")
+    ranked = spread_rank(rows, ["source"], "__hash", ["doc_id"], max(1, math.ceil(max(counts.values(), default=0) / bucket_rows)), "__rank")
     placed = ranked.withColumn("block", F.floor(F.col("__rank") / block_rows)).join(F.broadcast(phases), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") >= F.col("p_first")) & (F.col("block") < F.col("p_stop")))
     local = F.col("block") - F.col("p_first")
     slot = F.col("p_base") + F.floor(local / F.col("p_share")) * F.col("p_period") + F.col("p_slots")[(local % F.col("p_share")).cast("int")]
