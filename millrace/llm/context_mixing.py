@@ -196,7 +196,7 @@ class Evidence:
         self.keys = keys
         symbol, before = (keys & np.uint64(255)).astype(np.int64), nearest(keys)
         grid = pairs.reshape(256, 256)
-        self.counts = np.empty((ORDERS, len(keys), 9))
+        self.counts = np.empty((ORDERS, len(keys), 9), np.float32)
         for b in range(9):
             width = 1 << (8 - b)
             chunks = grid.reshape(256, 256 // width, width).sum(axis=2)
