@@ -21,6 +21,7 @@ BITS = 18
 ORDERS = (3, 4, 5)
 CHUNKS = 64
 THRESHOLD = 0.3
+SLICE = 1 << 18
 _A, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -37,21 +38,24 @@ def char_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def features(data: np.ndarray, offsets: np.ndarray, orders=ORDERS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct buckets of each document, back to back, and their len+1 offsets."""
+    """Distinct buckets of each document, back to back, and their len+1 offsets."""
     codes, at = char_codes(ta.lower(data), offsets)
-    n_docs, keys = len(offsets) - 1, []
-    doc = np.repeat(np.arange(n_docs, dtype=np.uint64), np.diff(at)) << np.uint64(bits)
-    left = np.repeat(at[1:], np.diff(at)) - np.arange(len(codes))
-    gram = codes
+    gram, buckets = codes, {}
     for n in range(2, max(orders) + 1):
         gram = gram[:-1] * _A + codes[n - 1 :]
-        if n in orders and len(gram):
-            inside = left[: len(gram)] >= n
-            bucket = (((gram + np.uint64(n)) * _SPREAD) >> np.uint64(64 - bits))[inside]
-            keys.append(doc[: len(gram)][inside] | bucket)
-    keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-    cuts = np.searchsorted(keys, np.arange(n_docs + 1, dtype=np.uint64) << np.uint64(bits))
-    return (keys & np.uint64((1 << bits) - 1)).astype(np.int32), cuts
+        if n in orders:
+            buckets[n] = (((gram + np.uint64(n)) * _SPREAD) >> np.uint64(64 - bits)).astype(np.int32)
+    last, count = np.empty(1 << bits, np.int32), np.arange(len(orders) * int(np.diff(at).max(initial=0)), dtype=np.int32)
+    found, cuts = [], np.zeros(len(at), np.int64)
+    for d, (a, b) in enumerate(zip(at.tolist(), at.tolist()[1:], strict=False)):
+        mine = np.concatenate([g[a : max(a, b - n + 1)] for n, g in buckets.items()])
+        # Every bucket remembers its last use, so one use of each is kept, in linear time.
+        places = count[: len(mine)]
+        last[mine] = places
+        mine = mine[last[mine] == places]
+        found.append(mine)
+        cuts[d + 1] = cuts[d] + len(mine)
+    return np.concatenate(found) if found else np.zeros(0, np.int32), cuts
 
 
 def _evidence(bits: int):
@@ -60,7 +64,7 @@ def _evidence(bits: int):
 
     def run(batches):
         counts, seen = np.zeros((2, size), np.int64), np.zeros(2, np.int64)
-        for batch in ta.slices(batches, "text"):
+        for batch in ta.slices(batches, "text", SLICE):
             found, cuts = features(*ta.flat(batch.column("text")), bits=bits)
             label = batch.column("toxic").to_numpy()
             for y in (0, 1):
@@ -162,7 +166,7 @@ def train(df: DataFrame, labels: DataFrame, sample_docs: int = 600, bits: int =
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     known = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, sample_docs / max(1, known.get(1, 0)))).otherwise(min(1.0, sample_docs / max(1, known.get(0, 0))))
-    joined = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked, "id")
+    joined = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked.hint("merge"), "id")
     picked = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30)) < share * (1 << 30)
     seen = Table(spark, joined.select("text", "toxic", picked.alias("sampled")).mapInArrow(_evidence(bits), "chunk int, label int, blob binary"), "toxicity")
     vectors = {r.chunk: np.frombuffer(r.blob, np.int64) for r in seen.df.where("chunk >= 0").repartition(CHUNKS + 1, "chunk").mapInArrow(_summed, seen.df.schema).collect()}
@@ -200,7 +204,7 @@ def with_scores(df: DataFrame, model: Model, text_col: str = "text", out: str =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            done = [scores(*ta.flat(part.column(place)), model) for part in ta.slices([batch], text_col)]
+            done = [scores(*ta.flat(part.column(place)), model) for part in ta.slices([batch], text_col, SLICE)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(done))], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)
