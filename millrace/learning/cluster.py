@@ -9,6 +9,7 @@ from pyspark.ml.clustering import KMeans as MLKMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.operators.frame import with_position
 from millrace.operators.linalg import gram
 
 
@@ -78,9 +79,8 @@ class DBSCAN:
         out = points.select("p").join(labels, "p", "left").join(border, "p", "left")
         label = F.coalesce("label", "first")
         found = out.select(F.col("p").alias(self.key), label.alias("root"), F.col("label").isNotNull().alias("core"))
-        roots = sorted(r[0] for r in labels.select("label").distinct().limit(100_000).collect())
-        self.n_clusters = len(roots)
-        names = spark.createDataFrame([(r, i) for i, r in enumerate(roots)], "root long, label long")
+        names = with_position(labels.select(F.col("label").alias("root")).distinct(), ["root"], "label").persist()
+        self.n_clusters = names.count()
         return found.join(names, "root", "left").select(self.key, F.coalesce("label", F.lit(-1).cast("long")).alias("label"), "core")
 
 

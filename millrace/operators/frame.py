@@ -22,14 +22,14 @@ def _ordered(keys: list[str]) -> list[Column]:
 def with_position(df: DataFrame, order_by: list[str], name: str = "_pos", buckets: int | None = None) -> DataFrame:
     """0-based position in the order of ``order_by`` (nulls last), without sorting in one task.
 
-    Cut points from a bounded sample of the first key split the rows into ranges; a position is the row's number within
+    Cut points from a bounded random sample of the first key split the rows into ranges; a position is the row's number within
     its range plus the sizes of the ranges before. ``order_by`` should be a total key.
     """
     spark = df.sparkSession
     n = min(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
     key = F.col(order_by[0])
-    found = [r[0] for r in df.select(key).where(key.isNotNull()).sample(0.2, 7).limit(50 * n).distinct().collect()] if n > 1 else []
-    cuts = sorted(found)[:: max(1, len(found) // n)][:n]
+    found = [r[0] for r in df.select(key).where(key.isNotNull()).orderBy(F.rand(7)).limit(50 * n).collect()] if n > 1 else []
+    cuts = sorted(set(sorted(found)[:: max(1, len(found) // n)]))
     part = reduce(add, [(key >= F.lit(c)).cast("int") for c in cuts], F.lit(0)) if cuts else F.lit(0)
     cut = df.withColumn("__part", F.when(key.isNull(), len(cuts) + 1).otherwise(part))
     sizes = {r["__part"]: r["count"] for r in cut.groupBy("__part").count().collect()}
