@@ -10,6 +10,7 @@ what the hashes call equal is verified byte by byte. Of each class of equal wind
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 from functools import reduce
@@ -73,24 +74,37 @@ def _emit(batches):
             yield pa.RecordBatch.from_arrays([*[c[b] for c in columns], pa.array(start[b].astype(np.int32)), pa.array((run[b] << 8 | gap[b]).astype(np.int32))], names=["anchor", "doc_id", "text_key", "start", "shape"])
 
 
-CONTENTS = STRETCHES + ", digest binary, content binary"
+DIGESTS = STRETCHES + ", digest binary"
+CONTENTS = STRETCHES + ", bucket long, blocks long, content binary"
+
+
+def _cut_out(batch, extra: list[str]):
+    """The stretches that ``uses`` lists for each text, in parts: their columns, and their bytes."""
+    data, offsets = ta.flat(batch.column("text"))
+    blob, uses = data.tobytes(), batch.column("uses")
+    items, cuts = uses.flatten(), np.concatenate([[0], np.cumsum([len(u) for u in uses])])
+    fields = {n: items.field(n) for n in ["anchor", "start", "shape", *extra]}
+    doc = np.repeat(np.arange(len(uses)), np.diff(cuts))
+    begin = offsets[doc] + fields["start"].to_numpy()
+    end = begin + (fields["shape"].to_numpy() >> 8) + WINDOW - 1
+    for a in range(0, len(doc), 20_000):
+        b = slice(a, a + 20_000)
+        picked = pa.array(doc[b])
+        columns = [fields["anchor"][b], batch.column("doc_id").take(picked), batch.column("text_key").take(picked), fields["start"][b], fields["shape"][b], *[fields[n][b] for n in extra]]
+        yield columns, [blob[x:y] for x, y in zip(begin[b].tolist(), end[b].tolist(), strict=True)]
+
+
+def _digests(batches):
+    for batch in ta.slices(batches, "text"):
+        for columns, content in _cut_out(batch, []):
+            made = pa.array([hashlib.blake2b(c, digest_size=16).digest() for c in content], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, made], names=["anchor", "doc_id", "text_key", "start", "shape", "digest"])
 
 
 def _contents(batches):
     for batch in ta.slices(batches, "text"):
-        data, offsets = ta.flat(batch.column("text"))
-        blob, uses = data.tobytes(), batch.column("uses")
-        items, cuts = uses.flatten(), np.concatenate([[0], np.cumsum([len(u) for u in uses])])
-        anchor, start, shape = (items.field(i) for i in range(3))
-        doc = np.repeat(np.arange(len(uses)), np.diff(cuts))
-        begin = offsets[doc] + start.to_numpy()
-        end = begin + (shape.to_numpy() >> 8) + WINDOW - 1
-        for a in range(0, len(doc), 20_000):
-            b = slice(a, a + 20_000)
-            content = [blob[x:y] for x, y in zip(begin[b].tolist(), end[b].tolist(), strict=True)]
-            digest = [hashlib.blake2b(c, digest_size=16).digest() for c in content]
-            picked = pa.array(doc[b])
-            yield pa.RecordBatch.from_arrays([anchor[b], batch.column("doc_id").take(picked), batch.column("text_key").take(picked), start[b], shape[b], pa.array(digest, pa.binary()), pa.array(content, pa.binary())], names=["anchor", "doc_id", "text_key", "start", "shape", "digest", "content"])
+        for columns, content in _cut_out(batch, ["bucket", "blocks"]):
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary())], names=["anchor", "doc_id", "text_key", "start", "shape", "bucket", "blocks", "content"])
 
 
 class Extensions:
@@ -254,6 +268,7 @@ def _cut(with_text: bool):
 
 def _free(spark) -> None:
     """Let the driver's JVM notice what is no longer used, so that shuffle files of finished steps are deleted."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -274,27 +289,36 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
     every = Table(spark, docs.select(*_KEYS, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256")), "whole")
     emitted = Table(spark, docs.where(F.octet_length("text") >= WINDOW).mapInArrow(_emit, STRETCHES), "stretches")
+    _free(spark)
     # Rows that are repeated emit the same stretch twice; that only means one more anchor to look at.
     shared = Table(spark, emitted.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-    lists = emitted.df.join(shared.df, "anchor").groupBy(*_KEYS).agg(F.collect_list(F.struct("anchor", "start", "shape")).alias("uses"))
-    texts = Table(spark, _same(docs.select(*_KEYS, "text"), lists), "texts")
+    _free(spark)
+    uses = F.collect_list(F.struct("anchor", "start", "shape")).alias("uses")
+    lists = Table(spark, emitted.df.join(shared.df, "anchor").groupBy(*_KEYS).agg(uses), "lists")
     shared.drop()
     emitted.drop()
     _free(spark)
-    # Equal stretches: the first stands for all. Any content of a group will do, as all are equal.
+    texts = Table(spark, _same(docs.select(*_KEYS, "text"), lists.df), "texts")
+    lists.drop()
+    _free(spark)
+    # Equal stretches: the first stands for all.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "start")
-    contents = texts.df.mapInArrow(_contents, CONTENTS)
-    firsts = Table(spark, contents.groupBy("anchor", "digest").agg(F.min(order).alias("o"), F.first("shape").alias("shape"), F.first("content").alias("content")).select("anchor", "digest", "o.doc_id", "o.text_key", "o.start", "shape", "content"), "firsts")
+    digests = texts.df.mapInArrow(_digests, DIGESTS)
+    firsts = Table(spark, digests.groupBy("anchor", "digest").agg(F.min(order).alias("o"), F.first("shape").alias("shape")).select("anchor", "digest", "o.doc_id", "o.text_key", "o.start", "shape"), "firsts")
     _free(spark)
     several = Table(spark, firsts.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
-    left = firsts.df.join(several.df, "anchor")
     total = several.df.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_width(spark), math.ceil(total / bucket_stretches))
     # A hot anchor is cut into blocks; what comes first in its block meets the others by digest below.
     blocks = F.ceil(F.col("n") / hot_stretches)
     block = F.pmod(F.xxhash64("digest"), blocks)
-    dealt = left.select("anchor", "doc_id", "text_key", "start", "shape", "content", blocks.alias("blocks"), F.pmod(F.xxhash64("anchor", block), F.lit(buckets)).alias("bucket"))
+    left = firsts.df.join(several.df, "anchor").select("anchor", *_KEYS, "start", "shape", F.pmod(F.xxhash64("anchor", block), F.lit(buckets)).alias("bucket"), blocks.alias("blocks"))
+    asked = Table(spark, left.groupBy(*_KEYS).agg(F.collect_list(F.struct("anchor", "start", "shape", "bucket", "blocks")).alias("uses")), "asked")
+    _free(spark)
+    dealt = _same(texts.df.select(*_KEYS, "text"), asked.df).mapInArrow(_contents, CONTENTS)
     resolved = Table(spark, dealt.groupBy("bucket").applyInArrow(_resolve, FIRSTS), "resolved")
+    asked.drop()
+    _free(spark)
     alone = firsts.df.join(several.df, "anchor", "left_anti").select(*_KEYS, "start", F.shiftright("shape", 8).alias("run"))
     hot = resolved.df.where("window is not null").groupBy("window").agg(F.min(order).alias("o")).select("o.doc_id", "o.text_key", "o.start", F.lit(1).alias("run"))
     parts = [alone, resolved.df.where("window is null").select(*_KEYS, "start", "run"), hot]
