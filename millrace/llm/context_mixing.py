@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textarrays as ta
-from .storage import Table
+from .storage import Table, release
 
 BLOCK_BYTES = 6 << 20
 SLAB_BYTES = 16 << 20
@@ -300,16 +300,26 @@ def _scored(pairs: np.ndarray, weights: np.ndarray, table: np.ndarray, slabs: in
         for batch in batches:
             for slab, k, c in zip(batch.column("slab").to_pylist(), batch.column("keys"), batch.column("counts"), strict=True):
                 keys, counts = _unpack_keys(k.as_py()), _unpack(c.as_py(), np.int64)
-                values = counts.astype(np.float64) if slab >= slabs else log10_probability(Evidence(keys, counts, pairs), len(keys), weights, table).astype(np.float64)
+                values = counts.astype(np.float64) if slab >= slabs else log10_probability(Evidence(keys, counts, pairs), len(keys), weights, table)
                 yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([k.as_py()], pa.binary()), pa.array([_pack(values)], pa.binary())], names=["slab", "keys", "values"])
 
     return run
 
 
-def _answers(key, asked, known):
-    keys, values = _unpack_keys(known["keys"][0].as_py()), _unpack(known["values"][0].as_py(), np.float64)
-    out = [_pack(values[np.searchsorted(keys, _unpack_keys(k.as_py()))].astype(np.float32 if key[0].as_py() < 0 else np.float64)) for k in asked["keys"]]
-    return pa.table({"block": asked["block"], "slab": asked["slab"], "values": pa.array(out, pa.binary())})
+def _kind(slab: int, slabs: int):
+    """Log probabilities are kept in single precision, counts in double."""
+    return np.float64 if slab >= slabs else np.float32
+
+
+def _answers(slabs: int):
+    def run(key, asked, known):
+        if not asked.num_rows:
+            return _NO_ANSWER
+        keys, values = _unpack_keys(known["keys"][0].as_py()), _unpack(known["values"][0].as_py(), _kind(key[0].as_py(), slabs))
+        out = [_pack(values[np.searchsorted(keys, _unpack_keys(k.as_py()))]) for k in asked["keys"]]
+        return pa.table({"block": asked["block"], "slab": asked["slab"], "values": pa.array(out, pa.binary())})
+
+    return run
 
 
 def _totals(slabs: int, tokens: int, distinct: int, n_train_docs: int):
@@ -319,7 +329,7 @@ def _totals(slabs: int, tokens: int, distinct: int, n_train_docs: int):
     def run(key, docs, answers):
         order = np.argsort(answers["slab"].to_numpy(), kind="stable")
         slab = answers["slab"].to_numpy()[order]
-        values = [_unpack(answers["values"][int(i)].as_py(), np.float64) for i in order]
+        values = [_unpack(answers["values"][int(i)].as_py(), _kind(s, slabs)) for i, s in zip(order, slab, strict=True)]
         have = [np.concatenate([np.zeros(0), *[v for s, v in zip(slab, values, strict=True) if (s >= slabs) == kind]]) for kind in (False, True)]
         batches = list(_block_keys(docs, slabs))
         known = [np.unique(np.concatenate([b[i] for b in batches])) if batches else np.zeros(0, np.uint64) for i in (1, 3)]
@@ -368,6 +378,7 @@ def lm_scores(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     n_blocks, slabs = max(1, math.ceil((size["bytes"] or 0) / block_bytes)), min(MAX_SLABS, max(1, math.ceil((size["bytes"] or 0) / slab_bytes)))
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
     asked = Table(spark, blocked.groupBy("block").applyInArrow(_requests(slabs), REQUEST), "asked")
+    release(spark)
     merged, left = asked.df, n_blocks
     while True:
         merged = merged.groupBy("slab", F.floor(F.col("block") / FAN_IN).alias("next")).applyInArrow(_merge, REQUEST)
@@ -375,6 +386,7 @@ def lm_scores(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         if left == 1:
             break
     model = Table(spark, merged, "contexts")
+    release(spark)
     cells = {r["cell"]: r["n"] for r in model.df.mapInArrow(_short_counts(slabs), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     pairs = np.zeros(1 << 16)
     for cell, n in cells.items():
@@ -389,10 +401,12 @@ def lm_scores(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     scored = Table(spark, model.df.mapInArrow(_scored(pairs, weights, table, slabs), "slab int, keys binary, values binary"), "scored")
     # Each slab's table goes to as many tasks as there are groups of FAN_IN blocks.
     groups = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n_blocks - 1) // FAN_IN).cast("long"))).alias("part")
-    answers = asked.df.select("slab", "block", "keys", F.floor(F.col("block") / FAN_IN).alias("part")).groupBy("slab", "part").cogroup(scored.df.select("*", groups).groupBy("slab", "part")).applyInArrow(lambda key, a, b: _answers(key, a, b) if a.num_rows else _NO_ANSWER, "block long, slab int, values binary")
+    answers = asked.df.select("slab", "block", "keys", F.floor(F.col("block") / FAN_IN).alias("part")).groupBy("slab", "part").cogroup(scored.df.select("*", groups).groupBy("slab", "part")).applyInArrow(_answers(slabs), "block long, slab int, values binary")
     found = Table(spark, answers, "answers")
-    out = blocked.groupBy("block").cogroup(found.df.groupBy("block")).applyInArrow(_totals(slabs, cells.get(-1, 0), cells.get(-2, 0), size["train"] or 0), SCORES)
-    return out
+    for used in (asked, model, scored):
+        used.drop()
+    release(spark)
+    return blocked.groupBy("block").cogroup(found.df.groupBy("block")).applyInArrow(_totals(slabs, cells.get(-1, 0), cells.get(-2, 0), size["train"] or 0), SCORES)
 
 
 _NO_ANSWER = pa.table({"block": pa.array([], pa.int64()), "slab": pa.array([], pa.int32()), "values": pa.array([], pa.binary())})

@@ -6,6 +6,7 @@ executor costs a few tasks and never a whole history.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,3 +53,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Python and the driver's JVM notice what is no longer used, so that shuffle files of finished steps are deleted."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
