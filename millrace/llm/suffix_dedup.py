@@ -13,6 +13,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import math
+import time
 from functools import reduce
 
 import numpy as np
@@ -268,8 +269,10 @@ def _cut(with_text: bool):
 
 def _free(spark) -> None:
     """Let the driver's JVM notice what is no longer used, so that shuffle files of finished steps are deleted."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of is only deleted once the cleaner has seen it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _same(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -322,9 +325,13 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     alone = firsts.df.join(several.df, "anchor", "left_anti").select(*_KEYS, "start", F.shiftright("shape", 8).alias("run"))
     hot = resolved.df.where("window is not null").groupBy("window").agg(F.min(order).alias("o")).select("o.doc_id", "o.text_key", "o.start", F.lit(1).alias("run"))
     parts = [alone, resolved.df.where("window is null").select(*_KEYS, "start", "run"), hot]
-    first_runs = reduce(DataFrame.union, parts).groupBy(*_KEYS).agg(F.collect_list(F.struct("start", "run")).alias("firsts"))
-    cut = Table(spark, _same(texts.df, first_runs, "left").mapInArrow(_cut(with_text), CUT).dropDuplicates(_KEYS), "cut")
-    for used in (texts, firsts, several, resolved):
+    first_runs = Table(spark, reduce(DataFrame.union, parts).groupBy(*_KEYS).agg(F.collect_list(F.struct("start", "run")).alias("firsts")), "first-runs")
+    for used in (firsts, several, resolved):
+        used.drop()
+    _free(spark)
+    slim = texts.df.select(*_KEYS, "text", F.transform("uses", lambda u: F.struct(u["start"].alias("start"), u["shape"].alias("shape"))).alias("uses"))
+    cut = Table(spark, _same(slim, first_runs.df, "left").mapInArrow(_cut(with_text), CUT).dropDuplicates(_KEYS), "cut")
+    for used in (texts, first_runs):
         used.drop()
     _free(spark)
     done = _same(every.df, cut.df, "left")
