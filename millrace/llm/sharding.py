@@ -47,14 +47,15 @@ def _table(values: list, key: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), key + 1)
 
 
-def propagate(rows: DataFrame, shards: int, rounds: int = 8) -> Table:
+def propagate(rows: DataFrame, shards: int, rounds: int = 8, start: Column | None = None) -> Table:
     """Table of ``rows`` (with columns row and hub; a null hub has no links) plus shard and linked (size of the group).
 
-    Linked rows alone are counted against the capacity here: unlinked ones make room when counts are evened out.
+    Rows begin on shard ``start``, left out a hash of the row. Linked rows alone are counted against the capacity here:
+    unlinked ones make room when counts are evened out.
     """
     spark = rows.sparkSession
     groups = Table(spark, rows.where("hub is not null").groupBy("hub").agg(F.count(F.lit(1)).alias("linked")).where("linked > 1"), "groups")
-    start = F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(shards)).cast("int")
+    start = (F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(shards)) if start is None else start).cast("int")
     # Null hubs meet no group; the group side has one row per hub, so a hot hub can be split over tasks.
     state = Table(spark, rows.join(groups.df, "hub", "left").select(*rows.columns, start.alias("shard"), F.coalesce("linked", F.lit(1)).alias("linked")), "shards")
     groups.drop()
@@ -125,24 +126,34 @@ def even_out(state: DataFrame, shards: int) -> DataFrame:
     return ranked.withColumn("shard", F.when(goes, target).otherwise(F.col("shard"))).drop("rank", "order")
 
 
-def shard_documents(df: DataFrame, shards: int = 8, rounds: int = 8, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def shard_documents(df: DataFrame, shards: int = 8, rounds: int = 8, *, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law ("rows"), shard, slot, grown_shard, linked, and ``carry``.
 
     Shard counts differ by one at most; slots number the rows of a shard from 0. Documents of equal text are linked and
     stay together as far as that allows. A null text has size 1, the checksum of an empty text and no links; empty texts
     are linked like others; null and repeated ids are rows of their own. An empty table gives an empty result. Other
     columns are only read if ``carry`` names them.
+
+    With ``order_col`` (distinct longs, gapless from 0) rows are dealt to the shards in turn by that number and slots
+    follow it, so each shard read by slot is a sample of the whole order at even distances, but for rows that links or
+    the evening out move.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("hub"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
+    source = df.select((F.col(order_col).cast("long") if order_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("hub"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
     base = Table(spark, source, "shard-rows")
-    state = propagate(base.df.select("row", "doc_id", "size", "text_crc32", "hub"), shards, rounds)
+    state = propagate(base.df.select("row", "doc_id", "size", "text_crc32", "hub"), shards, rounds, F.pmod("row", F.lit(shards)) if order_col else None)
     even = Table(spark, even_out(state.df, shards), "shards")
     state.drop()
-    counted = even.df.withColumn("order", F.xxhash64(F.lit(7), "row"))
-    # The hash of a row number is one to one, so slots have no ties.
-    slots = spread_rank(counted, ["shard"], "order", ["row"], max(1, math.ceil(even.df.count() / shards / BUCKET_ROWS)), "slot")
+    total = even.df.count()
+    buckets = max(1, math.ceil(total / shards / BUCKET_ROWS))
+    if order_col:
+        # Row numbers stretched over the positive longs keep their order; those are half of the ranges.
+        order, buckets = F.col("row") * F.lit(((1 << 63) - 1) // max(1, total)), 2 * buckets
+    else:
+        # The hash of a row number is one to one, so slots have no ties.
+        order = F.xxhash64(F.lit(7), "row")
+    slots = spread_rank(even.df.withColumn("order", order), ["shard"], "order", ["row"], buckets, "slot")
     if carry:
         slots = slots.join(base.df.select("row", *[f"__c{i}" for i in range(len(carry))]), "row")
     law = [F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "linked"]
