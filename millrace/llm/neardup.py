@@ -9,9 +9,10 @@ the threshold in all of them is small. What meets in a node is compared on full
   comparisons as it has members;
 * then, in nodes that still hold several components, all pairs across components: small nodes give pairs (each
   compared once, whatever the number of trees), larger ones gather the sets of their members in one bounded task, and
-  nodes beyond that bound branch on by further tokens.
+  nodes beyond that bound are cut into blocks, each pair of blocks being one bounded task. Members of the node's largest
+  component are compared with the others only, so a group of near copies is not squared; members that stay apart are.
 
-Only links that join components are kept, so nothing is ever squared in the size of a group.
+Only links that join components are kept.
 """
 
 from __future__ import annotations
@@ -80,8 +81,11 @@ def _sets(k: int):
     return run
 
 
-def link_node(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Exhaustive comparison across the components of one node: links that join all that belong together."""
+def link_node(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Exhaustive comparison across the components of one node: links that join all that belong together.
+
+    With ``parts`` of two values only pairs across them are compared.
+    """
     sizes = np.array([len(s) for s in sets])
     token, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     _, token, df = np.unique(token, return_inverse=True, return_counts=True)
@@ -89,11 +93,10 @@ def link_node(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percen
     column = np.cumsum(df > 1) - 1
     token, member = column[token[shared]], member[shared]
     _, comp = np.unique(comps, return_inverse=True)
-    main = np.bincount(comp).argmax()
-    outer = np.flatnonzero(comp != main)
-    row_of = np.full(len(sets), -1)
-    row_of[outer] = np.arange(len(outer))
-    common = np.zeros((len(outer), len(sets)), np.float32)
+    outer, inner = np.flatnonzero(comp != np.bincount(comp).argmax()), np.arange(len(sets))
+    if parts is not None and parts.min() < parts.max():
+        outer, inner = np.flatnonzero(parts == parts.min()), np.flatnonzero(parts != parts.min())
+    common = np.zeros((len(outer), len(inner)), np.float32)
     order = np.argsort(token, kind="stable")
     token, member = token[order], member[order]
     width = 2048
@@ -101,10 +104,10 @@ def link_node(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percen
         a, b = np.searchsorted(token, (first, first + width))
         block = np.zeros((len(sets), width), np.float32)
         block[member[a:b], token[a:b] - first] = 1
-        common += block[outer] @ block.T
+        common += block[outer] @ block[inner].T
     common = np.rint(common).astype(np.int64)
-    union = sizes[outer][:, None] + sizes[None, :] - common
-    left, right = np.nonzero((100 * common >= percent * union) & (comp[outer][:, None] != comp[None, :]))
+    union = sizes[outer][:, None] + sizes[inner][None, :] - common
+    left, right = np.nonzero((100 * common >= percent * union) & (comp[outer][:, None] != comp[inner][None, :]))
     root = list(range(comp.max() + 1))
 
     def find(x):
@@ -114,7 +117,7 @@ def link_node(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percen
         return x
 
     out = []
-    for i, j in zip(outer[left], right, strict=True):
+    for i, j in zip(outer[left], inner[right], strict=True):
         a, b = find(comp[i]), find(comp[j])
         if a != b:
             root[a] = b
@@ -127,7 +130,7 @@ def _compare_nodes(percent: int):
         ids, comps = table["rid"].to_numpy(), table["comp"].to_numpy()
         column = table["shingles"].combine_chunks()
         values, cuts = column.values.to_numpy(), column.offsets.to_numpy()
-        found = link_node(ids, comps, [values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], percent)
+        found = link_node(ids, comps, [values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], percent, table["part"].to_numpy() if "part" in table.column_names else None)
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
     return run
@@ -141,6 +144,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(100 * common >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
+def _blocks(spark, huge: DataFrame, block: int) -> DataFrame:
+    """Members of nodes (node, rid, comp) in blocks of about ``block``: node, first, second, part, rid, comp.
+
+    Each pair of blocks (first, second) of a node that can hold a new link has the members of both, ``part`` being the
+    member's own. The node's largest component has the last blocks, which meet the blocks of other members only.
+    """
+    counts = huge.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("size"))
+    whole = counts.groupBy("node").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("main"))
+    outer_parts, main_parts = F.ceil((F.col("all") - F.col("main.size")) / block), F.ceil(F.col("main.size") / block)
+    shape = Table(spark, whole.select("node", F.col("main.comp").alias("main"), outer_parts.alias("outer_parts"), main_parts.alias("main_parts")), "shape")
+    is_main, place = F.col("comp") == F.col("main"), F.xxhash64(F.lit(3), "rid")
+    part = F.when(is_main, F.col("outer_parts") + F.pmod(place, "main_parts")).otherwise(F.pmod(place, "outer_parts"))
+    met = F.col("outer_parts") + F.when(is_main, 0).otherwise(F.col("main_parts")) - 1
+    cut = huge.join(shape.df, "node").select("node", "rid", "comp", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), met)).alias("other"))
+    return cut.select("node", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "rid", "comp")
+
+
 def near_duplicates(
     df: DataFrame,
     k: int = 5,
@@ -194,37 +214,28 @@ def near_duplicates(
     links = [Table(spark, _verified(star.df, sets.df, percent), "links")]
     settled = components(links[0].df)
 
-    depth, here = first_depth, met.df.select("node", "rid", "n")
-    while True:
-        marked = here.join(settled.df.select(F.col("u").alias("rid"), F.col("v").alias("c")), "rid", "left").select("node", "rid", "n", F.coalesce("c", "rid").alias("comp"))
-        marked = Table(spark, marked, "marked")
-        mixed = Table(spark, marked.df.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node", "members"), "mixed")
-        open_ = Table(spark, marked.df.join(mixed.df, "node"), f"open-{depth}")
-        small = open_.df.where(F.col("members") <= small_node)
-        other = small.select("node", F.col("rid").alias("v"), F.col("n").alias("m"), F.col("comp").alias("other"))
-        pairs = small.withColumnRenamed("rid", "u").join(other, "node").where((F.col("u") > F.col("v")) & (F.col("comp") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-        fresh = Table(spark, pairs.select("u", "v").distinct().join(star.df, ["u", "v"], "left_anti"), "pairs")
-        links.append(Table(spark, _verified(fresh.df, sets.df, percent), "links"))
-        fresh.drop()
-        last = depth >= COORDINATES
-        middle = open_.df.where((F.col("members") > small_node) & ((F.col("members") <= large_node) | F.lit(last)))
-        if middle.head(1):
-            # One task per node: at most `large_node` sets, unless all coordinates agree, which only (nearly) equal sets do.
-            found = middle.select("node", "rid", "comp").join(sets.df, "rid").groupBy("node").applyInArrow(_compare_nodes(percent), "u long, v long")
-            links.append(Table(spark, found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"))
-        huge = open_.df.where(F.col("members") > large_node).select("rid").distinct()
-        if last or not huge.head(1):
-            break
-        depth = min(depth + 2, COORDINATES)
-        again = nodes(reps.df.join(huge, "rid").select("rid", "n", "signature"), depth)
-        by_hash = F.xxhash64("rid")
-        heads = Table(spark, again.groupBy("node").agg(F.min_by("rid", by_hash).alias("head"), F.min_by("n", by_hash).alias("head_n"), F.count(F.lit(1)).alias("members")).where("members > 1"), "heads")
-        met = Table(spark, again.join(heads.df, "node").select("node", "rid", "n", "head", "head_n"), "nodes")
-        star = Table(spark, met.df.where((F.col("rid") != F.col("head")) & fits).select(F.greatest("rid", "head").alias("u"), F.least("rid", "head").alias("v")).distinct(), "star")
-        links.append(Table(spark, _verified(star.df, sets.df, percent), "links"))
-        settled = components(_union([x.df for x in links]))
-        here = met.df.select("node", "rid", "n")
-    final = components(_union([x.df for x in links])) if len(links) > 1 else settled
+    here = met.df.select("node", "rid", "n")
+    marked = here.join(settled.df.select(F.col("u").alias("rid"), F.col("v").alias("c")), "rid", "left").select("node", "rid", "n", F.coalesce("c", "rid").alias("comp"))
+    marked = Table(spark, marked, "marked")
+    mixed = Table(spark, marked.df.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node", "members"), "mixed")
+    open_ = Table(spark, marked.df.join(mixed.df, "node"), "open")
+    small = open_.df.where(F.col("members") <= small_node)
+    other = small.select("node", F.col("rid").alias("v"), F.col("n").alias("m"), F.col("comp").alias("other"))
+    pairs = small.withColumnRenamed("rid", "u").join(other, "node").where((F.col("u") > F.col("v")) & (F.col("comp") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    fresh = Table(spark, pairs.select("u", "v").distinct().join(star.df, ["u", "v"], "left_anti"), "pairs")
+    links.append(Table(spark, _verified(fresh.df, sets.df, percent), "links"))
+    fresh.drop()
+    middle = open_.df.where((F.col("members") > small_node) & (F.col("members") <= large_node))
+    huge = open_.df.where(F.col("members") > large_node)
+    compared = []
+    if middle.head(1):
+        # One task per node: at most `large_node` sets.
+        compared.append(middle.select("node", "rid", "comp").join(sets.df, "rid").groupBy("node").applyInArrow(_compare_nodes(percent), "u long, v long"))
+    if huge.head(1):
+        compared.append(_blocks(spark, huge, max(1, large_node // 2)).join(sets.df, "rid").groupBy("node", "first", "second").applyInArrow(_compare_nodes(percent), "u long, v long"))
+    for found in compared:
+        links.append(Table(spark, found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"))
+    final = components(_union([x.df for x in links]))
     member = reps.df.join(final.df, reps.df.rid == final.df.u, "left").select("class", "least", F.coalesce("v", "rid").alias("comp"))
     member = Table(spark, member, "members")
     lowest = Table(spark, member.df.groupBy("comp").agg(F.min("least").alias("component_id")), "lowest")

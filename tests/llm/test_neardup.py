@@ -95,3 +95,19 @@ def test_shingle_sets_match_words():
     for k in (4, 5):
         h, cuts = ta.shingle_sets(*[ta.lower(x) if i == 0 else x for i, x in enumerate(ta.flat(pa.array(texts)))], k)
         assert np.diff(cuts).tolist() == [len(shingles(t, k)) for t in texts]
+
+
+def test_large_template_group_loses_no_link(spark):
+    # All share 170 words, each has 40 of its own; of each planted pair the second has 18 of the first's own words.
+    rng = random.Random(5)
+    rows, pairs = [], []
+    for i in range(1800):
+        own = [f"o{i}x{j}" for j in range(40)]
+        if i % 3 == 1:
+            own[:18] = rows[-1][1].split(" ")[170:188]
+            pairs.append((i - 1, i))
+        rows.append((i, " ".join([f"t{j}" for j in range(170)] + own), "x", 1, 0))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), 1, large_node=128).collect()}
+    assert sum(got[a] != got[b] for a, b in pairs) == 0
+    assert len(set(got.values())) == len(rows) - len(pairs)
