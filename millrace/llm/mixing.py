@@ -2,21 +2,26 @@
 
 The rows of a source are cut into blocks. With weight w, block k (from 0) of a source may run from slot floor(k / w)
 and must run before slot ceil((k + 1) / w); earliest-deadline-first over these windows keeps every source less than one
-block away from its share after every slot. Weights are whole multiples of 1/D, so the schedule repeats every D slots:
-the driver simulates one period (its size depends on the number of sources, never on the data) and each block
-computes its own slot. When a source runs out, the rest goes on with its weights scaled up; every row is placed.
+block away from its share after every slot. Weights are whole multiples of 2 ** -52, as exact as the numbers given, so
+the schedule does not repeat: the driver simulates all slots (one for each block of rows) and the plan holds four bytes
+for each. When a source runs out, the rest goes on with its weights scaled up; every row is placed.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from array import array
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .ranks import spread_rank
 
 MAX_SOURCES = 1000
+DENOMINATOR = 1 << 52
+CHUNK = 1024
 PLAN = T.StructType(
     [T.StructField("p_source", T.StringType())]
     + [T.StructField(n, T.LongType()) for n in ("p_first", "p_stop", "p_base", "p_share", "p_period", "p_missing")]
@@ -40,46 +45,62 @@ def whole_shares(weights: dict, period: int) -> dict:
     return share
 
 
-def one_period(share: dict) -> dict:
-    """Slots of each source's blocks in one period, by earliest deadline among released blocks."""
+def schedule(share: dict) -> Iterator:
+    """The source of each slot, without end, by earliest deadline among released blocks."""
     period = sum(share.values())
-    slots: dict = {s: [] for s in share}
     names = sorted(share, key=str)
     waiting = [(0, i, 0) for i in range(len(names))]  # release, source, block
     heapq.heapify(waiting)
     ready: list = []  # deadline, source, block
-    for t in range(period):
+    for t in itertools.count():
         while waiting and waiting[0][0] <= t:
             _, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(k + 1) * period // share[names[i]]), i, k))
         deadline, i, k = heapq.heappop(ready)
         if deadline <= t:
             raise ArithmeticError("a block missed its deadline")
-        slots[names[i]].append(t)
-        if k + 1 < share[names[i]]:
-            heapq.heappush(waiting, ((k + 1) * period // share[names[i]], i, k + 1))
+        yield names[i]
+        heapq.heappush(waiting, ((k + 1) * period // share[names[i]], i, k + 1))
+
+
+def one_period(share: dict) -> dict:
+    """Slots of each source's blocks in one period."""
+    slots: dict = {s: [] for s in share}
+    for t, s in enumerate(itertools.islice(schedule(share), sum(share.values()))):
+        slots[s].append(t)
     return slots
 
 
-def plan(rows: dict, weights: dict, block_rows: int, period: int) -> list[tuple]:
-    """Phases, each ending with the last block of one source: where that phase puts the blocks of each source."""
+def plan(rows: dict, weights: dict, block_rows: int, chunk: int) -> list[tuple]:
+    """Where the blocks of each source go, up to ``chunk`` blocks in one tuple: none crosses a multiple of ``chunk`` or a phase.
+
+    A phase ends with the last block of one source.
+    """
     left = {s: -(-n // block_rows) for s, n in rows.items() if n}
     done, base, missing, out = dict.fromkeys(left, 0), 0, 0, []
     while left:
-        share = whole_shares({s: weights[s] for s in left}, period)
-        slots = one_period(share)
-        last = {s: (n - 1) // share[s] * period + slots[s][(n - 1) % share[s]] for s, n in left.items()}
-        end = min(last, key=last.get)
-        span = last[end] + 1
-        for s in left:
-            used = span // period * share[s] + sum(t < span % period for t in slots[s])
-            if used:
-                out.append((s, done[s], done[s] + used, base, share[s], period, missing, slots[s]))
-            done[s] += used
-            left[s] -= used
-        base += span
-        missing += -rows[end] % block_rows
-        del left[end]
+        share = whole_shares({s: weights[s] for s in left}, DENOMINATOR)
+        found = {s: array("i") for s in left}
+        first: dict = {}
+
+        def close(s):
+            where, start = found[s], first.pop(s)
+            out.append((s, done[s] - len(where), done[s], base + start, len(where), len(where), missing, where))
+            found[s] = array("i")
+
+        for t, s in enumerate(schedule(share)):
+            found[s].append(t - first.setdefault(s, t))
+            done[s] += 1
+            left[s] -= 1
+            if done[s] % chunk == 0:
+                close(s)
+            if not left[s]:
+                break
+        for x in list(first):
+            close(x)
+        base += t + 1
+        missing += -rows[s] % block_rows
+        del left[s]
     return out
 
 
@@ -108,12 +129,13 @@ def mix_sources(
         weights = {s: n**temperature for s, n in counts.items()}
     if missing := [s for s in counts if not weights.get(s, 0) > 0]:
         raise ValueError(f"sources without a positive weight: {missing[:5]}")
-    phases = spark.createDataFrame(plan(counts, weights, block_rows, max(1024, 4 * len(counts))), PLAN)
+    phases = spark.createDataFrame(plan(counts, weights, block_rows, CHUNK), PLAN)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(6), F.col(id_col)).alias("__hash"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
     ranked = spread_rank(rows, ["source"], "__hash", ["doc_id"], max(1, math.ceil(max(counts.values(), default=0) / bucket_rows)), "__rank")
-    placed = ranked.withColumn("block", F.floor(F.col("__rank") / block_rows)).join(F.broadcast(phases), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") >= F.col("p_first")) & (F.col("block") < F.col("p_stop")))
-    local = F.col("block") - F.col("p_first")
-    slot = F.col("p_base") + F.floor(local / F.col("p_share")) * F.col("p_period") + F.col("p_slots")[(local % F.col("p_share")).cast("int")]
+    # An equality, so that a row meets only the few tuples of its own chunk.
+    chunk = F.floor(F.col("p_first") / CHUNK) == F.floor(F.col("block") / CHUNK)
+    placed = ranked.withColumn("block", F.floor(F.col("__rank") / block_rows)).join(F.broadcast(phases), F.col("source").eqNullSafe(F.col("p_source")) & chunk & (F.col("block") >= F.col("p_first")) & (F.col("block") < F.col("p_stop")))
+    slot = F.col("p_base") + F.col("p_slots")[(F.col("block") - F.col("p_first")).cast("int")]
     placed = placed.withColumn("slot", slot.cast("long")).withColumn("place", F.col("__rank") % block_rows)
     position = F.col("slot") * block_rows + F.col("place") - F.col("p_missing")
     return placed.select("doc_id", "source", "block", "slot", "place", position.alias("position"), *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry) if c not in ("doc_id", "source")])

@@ -57,3 +57,22 @@ def test_empty_and_bad_weights(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         mix_sources(spark.createDataFrame([(1, "a", 1, "")], SCHEMA), {"b": 1})
+
+
+def test_irrational_weights_hold_over_many_blocks():
+    rows = {s: n * 40 for s, n in zip("abcdef", (1_156_000, 400_000, 256_000, 144_000, 100_000, 64_000), strict=True)}
+    weights = {s: n**0.5 for s, n in rows.items()} | {"g": 1e-3}
+    rows["g"] = 3200
+    order = {}
+    for s, first, stop, base, share, period, _, where in plan(rows, weights, 320, 1024):
+        assert first // 1024 == (stop - 1) // 1024
+        order |= {base + j // share * period + where[j % share]: s for j in range(stop - first)}
+    assert sorted(order) == list(range(sum(-(-n // 320) for n in rows.values())))
+    total, done = sum(weights.values()), Counter()
+    for t in range(len(order)):
+        done[order[t]] += 1
+        # "g" weighs far less than one in 1,024; it runs out long after "f".
+        assert all(abs(done[s] - (t + 1) * w / total) < 1 + 1e-6 for s, w in weights.items()), t
+        if any(done[s] * 320 >= rows[s] for s in rows):
+            break
+    assert t > 90_000
