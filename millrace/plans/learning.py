@@ -172,12 +172,12 @@ def decision_tree_regressor(spark, d):
 
 @query()
 def random_forest_regressor(spark, d):
-    return _fitted(models.RandomForestRegressor(_X, n_estimators=10), planted(spark, d))
+    return _fitted(models.RandomForestRegressor(_X, n_estimators=20), planted(spark, d))
 
 
 @query()
 def gradient_boosting_regressor(spark, d):
-    return _fitted(models.GradientBoostingRegressor(_X, n_estimators=10), planted(spark, d))
+    return _fitted(models.GradientBoostingRegressor(_X, n_estimators=20), planted(spark, d))
 
 
 @query()
@@ -226,7 +226,7 @@ def decision_tree_classifier(spark, d):
 
 @query()
 def random_forest_classifier(spark, d):
-    return _fitted(models.RandomForestClassifier(_Q, n_estimators=10), _quality(spark, d))
+    return _fitted(models.RandomForestClassifier(_Q, n_estimators=20), _quality(spark, d))
 
 
 @query()
@@ -236,12 +236,12 @@ def logistic_regression(spark, d):
 
 @query()
 def gradient_boosting_classifier(spark, d):
-    return _fitted(models.GradientBoostingClassifier(_Q, n_estimators=5), _quality(spark, d))
+    return _fitted(models.GradientBoostingClassifier(_Q, n_estimators=20), _quality(spark, d))
 
 
 @query()
 def ada_boost_classifier(spark, d):
-    return _fitted(models.AdaBoostClassifier(_Q, n_estimators=5), _quality(spark, d))
+    return _fitted(models.AdaBoostClassifier(_Q, n_estimators=20), _quality(spark, d))
 
 
 @query()
@@ -351,7 +351,7 @@ def cross_val_score(spark, d):
 @query()
 def grid_search(spark, d):
     data = _quality(spark, d)
-    found = selection.GridSearchCV(lambda **p: models.RandomForestClassifier(_Q, **p), {"n_estimators": [5, 10], "max_depth": [3]}, cv=2, n_jobs=2).fit(data, "doc_id")
+    found = selection.GridSearchCV(lambda **p: models.RandomForestClassifier(_Q, **p), {"n_estimators": [5, 10], "max_depth": [3, 5]}, cv=3, n_jobs=2).fit(data, "doc_id")
     return spark.createDataFrame([(json.dumps(p), s) for s, p in found.results], "params string, score double")
 
 

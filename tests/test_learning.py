@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from millrace.functions import arrays
 from millrace.learning import cluster, metrics, models, selection
 from millrace.operators import linalg, preprocess as pp
+from millrace.plans import learning
 from millrace.sources import tabular
 
 FOUR = ["sepal_length", "sepal_width", "petal_length", "petal_width"]
@@ -116,3 +117,30 @@ def test_autoencoder_and_factory(flowers):
     error = models.Autoencoder(FOUR, hidden=(2,), activation="tanh", max_iter=80).fit(train).predict(train).agg(F.avg("prediction")).first()[0]
     assert error < 0.7
     assert isinstance(models.make("tree", "classifier", FOUR, max_depth=3), models.DecisionTreeClassifier)
+
+
+def test_queries_have_the_sizes_of_the_reference(monkeypatch):
+    fitted, searched = [], []
+
+    class Search:
+        results = []
+
+        def __init__(self, make, grid, **options):
+            searched.append((grid, options["cv"]))
+
+        def fit(self, *_):
+            return self
+
+    class Session:
+        def createDataFrame(self, *_):
+            return None
+
+    monkeypatch.setattr(learning, "_fitted", lambda model, _: fitted.append(model))
+    monkeypatch.setattr(learning, "_quality", lambda *_: None)
+    monkeypatch.setattr(learning, "planted", lambda *_: None)
+    monkeypatch.setattr(selection, "GridSearchCV", Search)
+    for f in (learning.random_forest_regressor, learning.gradient_boosting_regressor, learning.random_forest_classifier, learning.gradient_boosting_classifier, learning.ada_boost_classifier):
+        f(None, "")
+    assert [m.n if hasattr(m, "n") else m.params["n_estimators"] for m in fitted] == [20] * 5
+    learning.grid_search(Session(), "")
+    assert searched == [({"n_estimators": [5, 10], "max_depth": [3, 5]}, 3)]
