@@ -6,28 +6,35 @@ context gives a log-odds, a set of weights chosen by a gate (bit position, longe
 them up, and an adaptive table refines the result. Weights and table learn online, in passes over the training bytes
 with each byte's own occurrence taken out of the counts.
 
-No count is ever sent to the driver or copied to all tasks: documents are dealt into blocks of bounded size, each block
-asks for its distinct contexts, the requests are merged by slab of the context space (in rounds of bounded fan-in), each
-slab scores its contexts, and the answers go back to the blocks. What is gathered grows with the corpus.
+A context is hashed digit by digit, the nearest bytes on top, so the keys of all longer contexts lie inside the range of
+a shorter one. Documents are dealt into blocks of bounded size; each block asks once for its distinct keys. The key
+space is cut into slabs of about equal load at quantiles of a sample of training documents, on whole contexts; a slab
+gathers the requests of all blocks, adds them up, scores its contexts and answers each block. Where a cut falls into a
+context of 2 to 5 bytes, the parts count as contexts of their own, so nothing has to be known outside a slab but
+the counts of single bytes and byte pairs. What is gathered grows with the corpus, and every request and every answer
+is moved once; cuts, weights and tables depend on training documents only.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import textarrays as ta
-from .storage import Table, release
+from .storage import Table
 
 BLOCK_BYTES = 6 << 20
-SLAB_BYTES = 16 << 20
-MAX_SLABS = 1024
-FAN_IN = 64
+SLAB_BYTES = 8 << 20
+#: Training text that is looked at for the cuts between slabs: so much, and so much more for each slab.
+CUT_BYTES, CUT_BYTES_PER_SLAB = 4 << 20, 8 << 10
 ORDERS = 7  # contexts of 0 to 6 bytes
+#: A key from its top: bytes 1 and 2 back (permuted), 3, 4 (exact), 5, 6 (hashed to 7 bits each), the predicted byte.
+SHIFTS = {2: 38, 3: 30, 4: 22, 5: 15, 6: 8}
 GATES = 8 * ORDERS * 3
 BINS = 49
 DELTA = 0.35
@@ -39,23 +46,28 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
+@lru_cache(1)
+def _coder() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(values: np.ndarray) -> bytes:
-    return zlib.compress(values.tobytes(), 1)
+    """In byte planes, which compress better."""
+    return _coder()[0].compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
 
 
 def _unpack(blob: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), dtype)
+    planes = np.frombuffer(_coder()[1].decompress(blob), np.uint8)
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(planes.reshape(width, len(planes) // width).T).reshape(-1).view(dtype)
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, in byte planes, which compress better."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=keys.dtype.type(0)))
 
 
-def _unpack_keys(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(np.uint64), dtype=np.uint64)
+def _unpack_sorted(blob: bytes, dtype=np.uint64) -> np.ndarray:
+    return np.cumsum(_unpack(blob, dtype), dtype=dtype)
 
 
 def tokens_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,96 +90,128 @@ def tokens_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return stream[keep], before[np.append(begins, len(closed))], ta.span_hashes(closed, word_starts, word_ends) if len(word_starts) else np.zeros(0, np.uint64), first
 
 
-def context_keys(stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte its six predecessors (nearest highest, zero before the start) above itself, the top two permuted."""
-    depth = np.arange(len(stream)) - np.repeat(offsets[:-1], np.diff(offsets))
-    wide = stream.astype(np.uint64)
-    key = wide.copy()
-    for back in range(1, 7):
-        part = np.zeros(len(stream), np.uint64)
-        part[back:] = wide[:-back] if back < len(stream) else 0
-        part[depth < back] = 0
-        key |= part << np.uint64(8 * (7 - back))
-    top = ((key >> np.uint64(40)) * np.uint64(0x9E3B)) & np.uint64(0xFFFF)  # odd factor: one to one on 16 bits
-    return top << np.uint64(40) | (key & np.uint64((1 << 40) - 1))
+_ODD = 0x9E3B
+_PAIRS = (((np.arange(1 << 16, dtype=np.uint64) * np.uint64(_ODD)) & np.uint64(0xFFFF)) << np.uint64(38)).astype(np.uint64)  # odd factor: one to one
+_UNDO = pow(_ODD, -1, 1 << 16)
+_SEVEN = ta.mix(np.arange(256, dtype=np.uint64) + np.uint64(5)) >> np.uint64(57)
+_DIGITS = {3: np.arange(256, dtype=np.uint64) << np.uint64(30), 4: np.arange(256, dtype=np.uint64) << np.uint64(22), 5: _SEVEN << np.uint64(15), 6: _SEVEN << np.uint64(8)}
 
 
-_UNDO = pow(0x9E3B, -1, 1 << 16)
+def context_keys(stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte the digits of its six predecessors (zero before the start) above itself."""
+    starts, ends, back = offsets[:-1], offsets[1:], []
+    for k in range(1, 7):
+        part = np.zeros(len(stream), np.uint8)
+        part[k:] = stream[:-k]
+        for j in range(k):
+            at = starts + j
+            part[at[at < ends]] = 0
+        back.append(part)
+    key = _PAIRS[back[0].astype(np.uint16) << np.uint16(8) | back[1]]
+    for k, table in _DIGITS.items():
+        key |= table[back[k - 1]]
+    key |= stream
+    return key
 
 
 def nearest(keys: np.ndarray) -> np.ndarray:
     """The byte before the predicted one."""
-    return (((keys >> np.uint64(40)) * np.uint64(_UNDO) & np.uint64(0xFFFF)) >> np.uint64(8)).astype(np.int64)
+    return ((keys >> np.uint64(38)) * np.uint64(_UNDO) & np.uint64(0xFFFF)).astype(np.int64) >> 8
 
 
 def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and how many of them are training ones."""
-    keys = np.sort(keys << np.uint64(1) | train.astype(np.uint64)) if keys.dtype == np.uint64 else keys
+    keys = np.sort(keys << np.uint64(1) | train.astype(np.uint64))
     bare = keys >> np.uint64(1)
     head = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]])) if len(bare) else np.zeros(0, np.int64)
     return bare[head], np.add.reduceat((keys & np.uint64(1)).astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[head], np.add.reduceat(counts, head) if len(head) else counts
+    keys = np.unique(np.concatenate([p[0] for p in parts])) if parts else np.zeros(0, np.uint64)
+    counts = np.zeros(len(keys), np.int64)
+    for k, c in parts:
+        counts[np.searchsorted(keys, k)] += c
+    return keys, counts
 
 
-def _block_keys(table: pa.Table, slabs: int):
+def _block_keys(table: pa.Table):
     """Of all documents of a block: per batch the stream keys and word keys with their offsets."""
     for batch in ta.slices(table.combine_chunks().to_batches(), "text", 1 << 20):
         stream, offsets, words, first = tokens_stream(batch.column("text"))
         yield batch, context_keys(stream, offsets), offsets, words >> np.uint64(1), first
 
 
-def _slab_cuts(keys: np.ndarray, bits: int, slabs: int) -> np.ndarray:
-    bounds = [-(-(s << 16) // slabs) for s in range(slabs + 1)]
-    return np.searchsorted(keys, np.array([b << bits for b in bounds], np.uint64))
+def _sample_keys(batches):
+    """One in eight of the distinct contexts of each slice, by a hash."""
+    for batch in ta.slices(batches, "text", 1 << 20):
+        stream, offsets, _, _ = tokens_stream(batch.column("text"))
+        contexts = np.unique(context_keys(stream, offsets) >> np.uint64(8))
+        yield pa.RecordBatch.from_arrays([pa.array([_pack_sorted(contexts[ta.mix(contexts) & np.uint64(7) == 0])], pa.binary())], names=["contexts"])
+
 
+def slab_cuts(docs: DataFrame, train_bytes: int, slab_bytes: int) -> np.ndarray:
+    """First keys of all slabs but the first, from quantiles of the contexts of sampled training documents."""
+    n = math.ceil(train_bytes / slab_bytes)
+    if n <= 1:
+        return np.zeros(0, np.uint64)
+    share = min(1.0, (CUT_BYTES + CUT_BYTES_PER_SLAB * n) / train_bytes)
+    picked = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)
+    found = docs.where(F.col("train") & picked).select("text").mapInArrow(_sample_keys, "contexts binary").collect()
+    contexts = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_unpack_sorted(r.contexts) for r in found]]))
+    return np.unique(contexts[np.arange(1, n) * len(contexts) // n]) << np.uint64(8) if len(contexts) else contexts
 
-def _requests(slabs: int):
+
+def _word_cuts(n: int) -> np.ndarray:
+    return np.array([(s << 63) // n for s in range(1, n)], np.uint64)
+
+
+def _requests(cuts: np.ndarray, word_slabs: int):
     def run(key, table):
         bytes_, words = [], []
-        for batch, stream_keys, offsets, word_keys, first in _block_keys(table, slabs):
+        for batch, stream_keys, offsets, word_keys, first in _block_keys(table):
             train = batch.column("train").to_numpy(zero_copy_only=False)
             bytes_.append(_counted(stream_keys, np.repeat(train, np.diff(offsets))))
             words.append(_counted(word_keys, np.repeat(train, np.diff(first))))
         rows = []
-        for kind, (keys, counts), bits in ((0, _added(bytes_), 40), (1, _added(words), 47)):
-            cuts = _slab_cuts(keys, bits, slabs)
-            for s in np.flatnonzero(np.diff(cuts)):
-                part = slice(cuts[s], cuts[s + 1])
-                rows.append((kind * slabs + int(s), key[0].as_py(), _pack_keys(keys[part]), _pack(counts[part])))
+        for base, (keys, counts), at in ((0, _added(bytes_), cuts), (len(cuts) + 1, _added(words), _word_cuts(word_slabs))):
+            edges = np.concatenate([[0], np.searchsorted(keys, at), [len(keys)]])
+            for s in np.flatnonzero(np.diff(edges)):
+                part = slice(edges[s], edges[s + 1])
+                rows.append((base + int(s), key[0].as_py(), _pack_sorted(keys[part]), _pack(counts[part])))
         return pa.table({"slab": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary())})
 
     return run
 
 
 REQUEST = "slab int, block long, keys binary, counts binary"
+SLAB = "slab int, keys binary, counts binary, blocks array<long>, asked array<binary>"
 
 
-def _merge(key, table):
-    parts = [(_unpack_keys(k.as_py()), _unpack(c.as_py(), np.int64)) for k, c in zip(table["keys"], table["counts"], strict=True)]
+def _gather(table):
+    """One row for a slab: its distinct keys with their counts, and for every block the places of those it asks for."""
+    parts = [(_unpack_sorted(k.as_py()), _unpack(c.as_py(), np.int64)) for k, c in zip(table["keys"], table["counts"], strict=True)]
     keys, counts = _added(parts)
-    return pa.table({"slab": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "keys": pa.array([_pack_keys(keys)], pa.binary()), "counts": pa.array([_pack(counts)], pa.binary())})
+    asked = [_pack_sorted(np.searchsorted(keys, k).astype(np.uint32)) for k, _ in parts]
+    return pa.table({"slab": table["slab"][:1], "keys": pa.array([_pack_sorted(keys)], pa.binary()), "counts": pa.array([_pack(counts)], pa.binary()), "blocks": pa.array([table["block"].to_pylist()], pa.list_(pa.int64())), "asked": pa.array([asked], pa.list_(pa.binary()))})
+
+
+def _slabs_of(batches):
+    for batch in batches:
+        for i, (slab, k, c) in enumerate(zip(batch.column("slab").to_pylist(), batch.column("keys"), batch.column("counts"), strict=True)):
+            yield batch, i, slab, _unpack_sorted(k.as_py()), _unpack(c.as_py(), np.int64)
 
 
 def _short_counts(slabs: int):
     """Per slab: training counts of (preceding byte, byte), and of words the tokens and the distinct ones."""
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for slab, k, c in zip(batch.column("slab").to_pylist(), batch.column("keys"), batch.column("counts"), strict=True):
-                keys, counts = _unpack_keys(k.as_py()), _unpack(c.as_py(), np.int64)
-                if slab >= slabs:
-                    rows += [(-1, int(counts.sum())), (-2, int((counts > 0).sum()))]
-                else:
-                    pairs = np.bincount(nearest(keys) << 8 | (keys & np.uint64(255)).astype(np.int64), counts, 1 << 16)
-                    rows += [(int(i), int(pairs[i])) for i in np.flatnonzero(pairs)]
+        for _, _, slab, keys, counts in _slabs_of(batches):
+            if slab >= slabs:
+                rows = [(-1, int(counts.sum())), (-2, int((counts > 0).sum()))]
+            else:
+                pairs = np.bincount(nearest(keys) << 8 | (keys & np.uint64(255)).astype(np.int64), counts, 1 << 16)
+                rows = [(int(i), int(pairs[i])) for i in np.flatnonzero(pairs)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], names=["cell", "n"])
 
     return run
@@ -203,7 +247,7 @@ class Evidence:
             self.counts[1, :, b] = chunks[before, symbol // width]
             self.counts[0, :, b] = chunks.sum(axis=0)[symbol // width]
         for order in range(2, ORDERS):
-            self.counts[order] = prefix_counts(keys >> np.uint64(8 * (7 - order)), symbol, counts)
+            self.counts[order] = prefix_counts(keys >> np.uint64(SHIFTS[order]), symbol, counts)
 
     def inputs(self, pick: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds (orders, keys, 8) and gates (keys, 8) of some keys, ``own`` occurrences taken out."""
@@ -227,7 +271,7 @@ def first_weights() -> np.ndarray:
 
 
 def learn(evidence: Evidence, counts: np.ndarray, weights: np.ndarray, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
-    """Online passes over a slab's training bytes in batches; returns weights and the refinement's hits and misses."""
+    """Online passes over a slab's training bytes in batches, in the order of a hash; returns weights and the refinement's hits and misses."""
     weights = weights.copy()
     known = np.flatnonzero(counts > 0)
     # An order that held-out texts, which ask for keys of their own, can't change.
@@ -283,43 +327,54 @@ def log10_probability(evidence: Evidence, n: int, weights: np.ndarray, table: np
 
 def _learned(pairs: np.ndarray, slabs: int):
     def run(batches):
-        for batch in batches:
-            for slab, k, c in zip(batch.column("slab").to_pylist(), batch.column("keys"), batch.column("counts"), strict=True):
-                if slab < slabs:
-                    keys, counts = _unpack_keys(k.as_py()), _unpack(c.as_py(), np.int64)
-                    weights, table = learn(Evidence(keys, counts, pairs), counts, first_weights())
-                    yield pa.RecordBatch.from_arrays([pa.array([float(counts.sum())]), pa.array([weights.tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary())], names=["mass", "weights", "hits"])
+        for _, _, slab, keys, counts in _slabs_of(batches):
+            if slab < slabs:
+                weights, table = learn(Evidence(keys, counts, pairs), counts, first_weights())
+                mass = float(counts.sum())
+                values = np.concatenate([weights.reshape(-1) * mass, table.reshape(-1)])
+                yield pa.RecordBatch.from_arrays([pa.array([mass]), pa.array([values.tolist()], pa.list_(pa.float64()))], names=["mass", "values"])
 
     return run
 
 
-def _scored(pairs: np.ndarray, weights: np.ndarray, table: np.ndarray, slabs: int):
-    """Values of a slab's keys: log10 probabilities of bytes, training counts of words."""
+def average(learned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of all slabs, averaged by their training bytes, and the sum of their tables.
 
-    def run(batches):
-        for batch in batches:
-            for slab, k, c in zip(batch.column("slab").to_pylist(), batch.column("keys"), batch.column("counts"), strict=True):
-                keys, counts = _unpack_keys(k.as_py()), _unpack(c.as_py(), np.int64)
-                values = counts.astype(np.float64) if slab >= slabs else log10_probability(Evidence(keys, counts, pairs), len(keys), weights, table)
-                yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([k.as_py()], pa.binary()), pa.array([_pack(values)], pa.binary())], names=["slab", "keys", "values"])
+    Sums are of whole multiples of 2 ** -20, so they don't depend on the order of the slabs.
+    """
+    whole = (F.col("value") * (1 << 20)).cast("decimal(38,0)")
+    cells = learned.where("mass > 0").select("mass", F.posexplode("values").alias("at", "value")).groupBy("at").agg(F.sum(whole).alias("value"), F.sum(F.col("mass").cast("decimal(38,0)")).alias("mass")).collect()
+    if not cells:
+        return first_weights(), np.zeros((8, BINS))
+    sums, mass = np.zeros(len(cells)), float(cells[0]["mass"])
+    for r in cells:
+        sums[r["at"]] = float(r["value"]) / (1 << 20)
+    return (sums[: GATES * ORDERS] / mass).reshape(GATES, ORDERS), sums[GATES * ORDERS :].reshape(8, BINS)
 
-    return run
 
+def _answers(pairs: np.ndarray, weights: np.ndarray, table: np.ndarray, slabs: int):
+    """For each block the values of the keys it asks a slab for: log10 probabilities of bytes, training counts of words."""
 
-def _kind(slab: int, slabs: int):
-    """Log probabilities are kept in single precision, counts in double."""
-    return np.float64 if slab >= slabs else np.float32
+    def run(batches):
+        for batch, i, slab, keys, counts in _slabs_of(batches):
+            values = counts if slab >= slabs else log10_probability(Evidence(keys, counts, pairs), len(keys), weights, table).astype(np.float16)
+            blocks, asked = batch.column("blocks")[i].as_py(), batch.column("asked")[i].values
+            for a in range(0, len(blocks), 256):
+                out = [_pack(values[_unpack_sorted(p.as_py(), np.uint32)]) for p in asked[a : a + 256]]
+                yield pa.RecordBatch.from_arrays([pa.array(blocks[a : a + 256], pa.int64()), pa.array([slab] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["block", "slab", "values"])
 
+    return run
 
-def _answers(slabs: int):
-    def run(key, asked, known):
-        if not asked.num_rows:
-            return _NO_ANSWER
-        keys, values = _unpack_keys(known["keys"][0].as_py()), _unpack(known["values"][0].as_py(), _kind(key[0].as_py(), slabs))
-        out = [_pack(values[np.searchsorted(keys, _unpack_keys(k.as_py()))]) for k in asked["keys"]]
-        return pa.table({"block": asked["block"], "slab": asked["slab"], "values": pa.array(out, pa.binary())})
 
-    return run
+def _places(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """For each key its place among the sorted distinct keys of all parts."""
+    keys = np.concatenate([np.zeros(0, np.uint64), *parts])
+    order = np.argsort(keys)
+    ranked = keys[order]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]])) if len(keys) else place
+    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+    return [place[e - len(p) : e] for e, p in zip(ends, parts, strict=True)]
 
 
 def _totals(slabs: int, tokens: int, distinct: int, n_train_docs: int):
@@ -329,17 +384,16 @@ def _totals(slabs: int, tokens: int, distinct: int, n_train_docs: int):
     def run(key, docs, answers):
         order = np.argsort(answers["slab"].to_numpy(), kind="stable")
         slab = answers["slab"].to_numpy()[order]
-        values = [_unpack(answers["values"][int(i)].as_py(), _kind(s, slabs)) for i, s in zip(order, slab, strict=True)]
-        have = [np.concatenate([np.zeros(0), *[v for s, v in zip(slab, values, strict=True) if (s >= slabs) == kind]]) for kind in (False, True)]
-        batches = list(_block_keys(docs, slabs))
-        known = [np.unique(np.concatenate([b[i] for b in batches])) if batches else np.zeros(0, np.uint64) for i in (1, 3)]
+        blobs = [answers["values"][int(i)].as_py() for i in order]
+        have = [np.concatenate([np.zeros(0), *[_unpack(b, np.int64 if kind else np.float16) for s, b in zip(slab, blobs, strict=True) if (s >= slabs) == kind]]) for kind in (False, True)]
+        batches = list(_block_keys(docs))
+        at = [_places([b[i] for b in batches]) for i in (1, 3)]
         parts = []
-        for batch, stream_keys, offsets, word_keys, first in batches:
-            bits = have[0][np.searchsorted(known[0], stream_keys)]
-            c = have[1][np.searchsorted(known[1], word_keys)]
+        for (batch, _, offsets, _, first), byte_at, word_at in zip(batches, *at, strict=True):
+            c = have[1][word_at]
             doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
             base = np.bincount(doc, np.log10((c + 0.1) / floor), batch.num_rows) + math.log10((n_train_docs + 0.1) / floor)
-            score = np.add.reduceat(bits, offsets[:-1])
+            score = np.add.reduceat(have[0][byte_at], offsets[:-1])
             size = np.diff(offsets)
             parts.append(
                 pa.table(
@@ -369,44 +423,31 @@ def lm_scores(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows whose crc32 of the id (as text) leaves 0 on division by 10 are held out: they are scored, never learned from.
     A null id is held out too. A null text counts as empty and consists of the end alone; repeated rows count and are
     scored each; other columns are not read; an empty table gives an empty result. Words are told apart by 63-bit
-    hashes. Without training documents every byte gets even odds.
+    hashes, log probabilities of bytes are kept in half precision. Without training documents every byte gets even odds.
+
+    Memory of a task: a block of about ``block_bytes``, or one longer text, or a slab, for ``slab_bytes`` of training
+    text. Requests are blocks times slabs in number; beyond some TB both sizes should be raised with the input's root.
     """
     spark = df.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(10)) == 0, F.lit(True))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"), (~held).alias("train"))
-    size = docs.agg(F.sum(F.octet_length("text") + 1).alias("bytes"), F.sum(F.col("train").cast("long")).alias("train")).first()
-    n_blocks, slabs = max(1, math.ceil((size["bytes"] or 0) / block_bytes)), min(MAX_SLABS, max(1, math.ceil((size["bytes"] or 0) / slab_bytes)))
+    length = F.octet_length("text") + 1
+    size = docs.agg(F.sum(length).alias("bytes"), F.sum(F.when(F.col("train"), length)).alias("train_bytes"), F.sum(F.col("train").cast("long")).alias("train")).first()
+    n_blocks = max(1, math.ceil((size["bytes"] or 0) / block_bytes))
+    cuts = slab_cuts(docs, size["train_bytes"] or 0, slab_bytes)
+    slabs = len(cuts) + 1
+    word_slabs = slabs // 4 + 1
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
-    asked = Table(spark, blocked.groupBy("block").applyInArrow(_requests(slabs), REQUEST), "asked")
-    release(spark)
-    merged, left = asked.df, n_blocks
-    while True:
-        merged = merged.groupBy("slab", F.floor(F.col("block") / FAN_IN).alias("next")).applyInArrow(_merge, REQUEST)
-        left = math.ceil(left / FAN_IN)
-        if left == 1:
-            break
-    model = Table(spark, merged, "contexts")
-    release(spark)
-    cells = {r["cell"]: r["n"] for r in model.df.mapInArrow(_short_counts(slabs), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    asked = blocked.groupBy("block").applyInArrow(_requests(cuts, word_slabs), REQUEST)
+    # As many partitions as slabs: the work on a slab is large beside its bytes.
+    model = Table(spark, asked.repartition(slabs + word_slabs, "slab").groupBy("slab").applyInArrow(_gather, SLAB), "slabs")
+    bare = model.df.select("slab", "keys", "counts")
+    cells = {r["cell"]: r["n"] for r in bare.mapInArrow(_short_counts(slabs), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     pairs = np.zeros(1 << 16)
     for cell, n in cells.items():
         if cell >= 0:
             pairs[cell] = n
-    learned = model.df.mapInArrow(_learned(pairs, slabs), "mass double, weights binary, hits binary").where("mass > 0").collect()
-    weights, table = first_weights(), np.zeros((8, BINS))
-    if learned:
-        mass = sum(r.mass for r in learned)
-        weights = sum(np.frombuffer(r.weights, np.float64) * (r.mass / mass) for r in learned).reshape(GATES, ORDERS)
-        table = sum(np.frombuffer(r.hits, np.float64) for r in learned).reshape(8, BINS)
-    scored = Table(spark, model.df.mapInArrow(_scored(pairs, weights, table, slabs), "slab int, keys binary, values binary"), "scored")
-    # Each slab's table goes to as many tasks as there are groups of FAN_IN blocks.
-    groups = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n_blocks - 1) // FAN_IN).cast("long"))).alias("part")
-    answers = asked.df.select("slab", "block", "keys", F.floor(F.col("block") / FAN_IN).alias("part")).groupBy("slab", "part").cogroup(scored.df.select("*", groups).groupBy("slab", "part")).applyInArrow(_answers(slabs), "block long, slab int, values binary")
-    found = Table(spark, answers, "answers")
-    for used in (asked, model, scored):
-        used.drop()
-    release(spark)
+    weights, table = average(bare.mapInArrow(_learned(pairs, slabs), "mass double, values array<double>"))
+    found = Table(spark, model.df.mapInArrow(_answers(pairs, weights, table, slabs), "block long, slab int, values binary"), "answers")
+    model.drop()
     return blocked.groupBy("block").cogroup(found.df.groupBy("block")).applyInArrow(_totals(slabs, cells.get(-1, 0), cells.get(-2, 0), size["train"] or 0), SCORES)
-
-
-_NO_ANSWER = pa.table({"block": pa.array([], pa.int64()), "slab": pa.array([], pa.int32()), "values": pa.array([], pa.binary())})

@@ -34,21 +34,27 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 class Table:
-    """A written DataFrame: ``df`` reads it back, ``drop()`` deletes it."""
+    """A written DataFrame: ``df`` reads it back, ``drop()`` deletes it, as does the end of the driver."""
 
     def __init__(self, spark: SparkSession, df: DataFrame, tag: str):
         self.spark, self.path, schema = spark, fresh_path(spark, tag), df.schema
         df.write.parquet(self.path)
+        target, files = _files(spark, self.path)
+        files.deleteOnExit(target)
         self.df = spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:
         delete(self.spark, self.path)
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _files(spark, path)
+    files.delete(target, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
