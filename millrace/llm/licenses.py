@@ -7,6 +7,7 @@ library matches the whole notice with bounded errors, and the match gives edits
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -65,35 +66,51 @@ def _automaton() -> tuple:
     for piece, uses in found.items():
         seeds.add_word(piece, (len(piece), uses))
     seeds.make_automaton()
-    exprs = [regex.compile(rf"(?<![^ ])(?:{regex.escape(n, literal_spaces=True)}){{e<={edits_allowed(n)}}}(?![^ ])", regex.BESTMATCH) for n in NOTICES]
+    exprs = [regex.compile(rf"(?:{regex.escape(n, literal_spaces=True)}){{e<={edits_allowed(n)}}}", regex.BESTMATCH) for n in NOTICES]
     return seeds, exprs, list(NOTICES.items())
 
 
+def _matches(expr: regex.Pattern, sentence: str, first: int, last: int, notice: str, edits: int) -> Iterator[tuple[int, int, int]]:
+    """Edits, start and end of all stretches of whole words that start between two places and match the notice."""
+    n = len(sentence)
+    for start in range(max(0, first), min(n, last) + 1):
+        if start and sentence[start - 1] != " ":
+            continue
+        for end in range(max(start, start + len(notice) - edits), min(n, start + len(notice) + edits) + 1):
+            if (end == n or sentence[end] == " ") and (m := expr.fullmatch(sentence, start, end)):
+                yield sum(m.fuzzy_counts), start, end
+
+
 def fuzzy_notices(sentence: str) -> list[tuple[str, int, int, int]]:
     """Notices in a text of lower-case words joined by single spaces: label, edits, start and end character.
 
-    Looks around every seed, merges windows of the same notice that overlap and reports the best match in each
-    stretch, then the next one behind it.
+    Every seed says where its notice would begin; places within the same few characters are looked at together. Of
+    matches of one notice that overlap, the one with fewer edits is reported, the earlier one among equals.
     """
     seeds, exprs, notices = _automaton()
-    near: dict[int, list[int]] = {}
+    near: dict[int, set[int]] = {}
     for end, (length, uses) in seeds.iter(sentence):
         for number, at in uses:
-            near.setdefault(number, []).append(end + 1 - length - at)
+            near.setdefault(number, set()).add(end + 1 - length - at)
     out = []
     for number, begins in near.items():
-        slack = edits_allowed(notices[number][0]) + 1
-        spans: list[list[int]] = []
+        notice, label = notices[number]
+        edits = edits_allowed(notice)
+        groups: list[list[int]] = []
         for begin in sorted(begins):
-            if spans and begin - slack <= spans[-1][1]:
-                spans[-1][1] = begin + len(notices[number][0]) + slack
+            if groups and begin - groups[-1][0] <= edits:
+                groups[-1][1] = begin
             else:
-                spans.append([begin - slack, begin + len(notices[number][0]) + slack])
-        for first, last in spans:
-            at, stop = max(0, first), min(len(sentence), last)
-            while at < stop and (m := exprs[number].search(sentence, at, stop)):
-                out.append((notices[number][1], sum(m.fuzzy_counts), m.start(), m.end()))
-                at = max(m.end(), at + 1)
+                groups.append([begin, begin])
+        found = {m for a, b in groups for m in _matches(exprs[number], sentence, a - edits, b + edits, notice, edits)}
+        starts: list[int] = []
+        ends: list[int] = []
+        for cost, start, end in sorted(found):
+            at = bisect.bisect(starts, start)
+            if (at == 0 or ends[at - 1] <= start) and (at == len(starts) or end <= starts[at]):
+                starts.insert(at, start)
+                ends.insert(at, end)
+                out.append((label, cost, start, end))
     return sorted(out, key=lambda x: x[2:])
 
 

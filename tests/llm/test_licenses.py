@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -47,3 +48,58 @@ def test_edits_are_found_and_bounded():
 def test_score():
     assert scan_text(b"nothing here")["score"] == 0 and scan_text(b"cc by nc")["score"] == 1
     assert 0.8 < scan_text(b"gnu generel public license")["score"] < 1
+
+
+def distances(notice, text, start):
+    """Edit distance of the notice to text[start:end], for every end."""
+    row = list(range(len(notice) + 1))
+    out = {start: row[-1]}
+    for end in range(start, min(len(text), start + len(notice) + 4)):
+        new = [row[0] + 1]
+        for j, c in enumerate(notice):
+            new.append(min(row[j] + (c != text[end]), row[j + 1] + 1, new[j] + 1))
+        row = new
+        out[end + 1] = row[-1]
+    return out
+
+
+def brute_fuzzy(text):
+    """Per notice: all stretches of whole words within the allowed edits, fewest edits first, those that overlap left out."""
+    out = []
+    begins = [i for i in range(len(text)) if i == 0 or text[i - 1] == " "]
+    for notice, label in licenses.NOTICES.items():
+        found = [(d, a, b) for a in begins for b, d in distances(notice, text, a).items() if d <= licenses.edits_allowed(notice) and (b == len(text) or text[b] == " ")]
+        taken = []
+        for d, a, b in sorted(found):
+            if all(b <= x or y <= a for _, x, y in taken):
+                taken.append((d, a, b))
+        out += [(label, notice, *x) for x in taken]
+    return out
+
+
+def test_labels_spans_and_score_against_an_edit_distance_search():
+    rng = random.Random(4)
+    filler = ["the", "gnu", "license", "public", "by", "nc", "mit", "under", "a", "x", "version", "apache", "ünd"]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            parts += [rng.choice(filler) for _ in range(rng.randint(0, 4))]
+            notice = list(rng.choice(list(licenses.NOTICES)))
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 4])):
+                at = rng.randrange(len(notice))
+                notice[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "e"])
+            parts.append("".join(notice))
+        text = " ".join(" ".join(parts).split())
+        want, got = brute_fuzzy(text), fuzzy_notices(text)
+        # Stretches with equally few edits may end differently; labels, edits and how many there are do not.
+        assert sorted((x[0], x[2]) for x in want) == sorted(x[:2] for x in got), text
+        result = scan_text(text.encode())
+        base = brute(text)
+        assert result["labels"] == {x[0] for x in want} | set(filter(None, base[4].split(",")))
+        best = max([1.0] * bool(base[1]) + [1 - d / (b - a) for _, _, d, a, b in want], default=0.0)
+        assert abs(result["score"] - best) < 0.02
+
+
+def test_a_worse_match_before_a_better_one_is_reported():
+    assert [x[1:3] for x in fuzzy_notices("under the mit licence under the mit license")] == [(1, 0), (0, 22)]
+    assert [x[:2] for x in fuzzy_notices("gnu generl public license gnu general public license")] == [("gpl", 1), ("gpl", 0)]
