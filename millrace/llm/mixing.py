@@ -3,8 +3,9 @@
 The rows of a source are cut into blocks. With weight w, block k (from 0) of a source may run from slot floor(k / w)
 and must run before slot ceil((k + 1) / w); earliest-deadline-first over these windows keeps every source less than one
 block away from its share after every slot. Weights are whole multiples of 2 ** -52, as exact as the numbers given, so
-the schedule does not repeat: the driver simulates all slots (one for each block of rows) and the plan holds four bytes
-for each. When a source runs out, the rest goes on with its weights scaled up; every row is placed.
+the schedule does not repeat: the driver simulates all slots (one for each block of rows) and the plan holds sixteen
+bytes for each. Blocks have 32 rows, and more where a table would have more than 4 million blocks, so driver and plan
+are bounded. When a source runs out, the rest goes on with its weights scaled up; every row is placed.
 """
 
 from __future__ import annotations
@@ -19,14 +20,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .ranks import spread_rank
 
-MAX_SOURCES = 1000
 DENOMINATOR = 1 << 52
 CHUNK = 1024
-PLAN = T.StructType(
-    [T.StructField("p_source", T.StringType())]
-    + [T.StructField(n, T.LongType()) for n in ("p_first", "p_stop", "p_base", "p_share", "p_period", "p_missing")]
-    + [T.StructField("p_slots", T.ArrayType(T.IntegerType()))]
-)
+BLOCK_ROWS = 32
+MAX_BLOCKS = 1 << 22
+PLAN = T.StructType([T.StructField("p_source", T.StringType()), T.StructField("p_chunk", T.LongType()), *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("p_slots", "p_starts")]])
 
 
 def whole_shares(weights: dict, period: int) -> dict:
@@ -72,36 +70,25 @@ def one_period(share: dict) -> dict:
 
 
 def plan(rows: dict, weights: dict, block_rows: int, chunk: int) -> list[tuple]:
-    """Where the blocks of each source go, up to ``chunk`` blocks in one tuple: none crosses a multiple of ``chunk`` or a phase.
+    """Source, chunk number, slots and first positions of its blocks, up to ``chunk`` blocks in one tuple.
 
-    A phase ends with the last block of one source.
+    A phase ends with the last block of one source; the others go on with their weights scaled up.
     """
     left = {s: -(-n // block_rows) for s, n in rows.items() if n}
-    done, base, missing, out = dict.fromkeys(left, 0), 0, 0, []
+    slots = {s: array("q") for s in left}
+    starts = {s: array("q") for s in left}
+    slot = missing = 0
     while left:
-        share = whole_shares({s: weights[s] for s in left}, DENOMINATOR)
-        found = {s: array("i") for s in left}
-        first: dict = {}
-
-        def close(s):
-            where, start = found[s], first.pop(s)
-            out.append((s, done[s] - len(where), done[s], base + start, len(where), len(where), missing, where))
-            found[s] = array("i")
-
-        for t, s in enumerate(schedule(share)):
-            found[s].append(t - first.setdefault(s, t))
-            done[s] += 1
+        for s in schedule(whole_shares({s: weights[s] for s in left}, DENOMINATOR)):
+            slots[s].append(slot)
+            starts[s].append(slot * block_rows - missing)
+            slot += 1
             left[s] -= 1
-            if done[s] % chunk == 0:
-                close(s)
             if not left[s]:
+                missing += -rows[s] % block_rows
+                del left[s]
                 break
-        for x in list(first):
-            close(x)
-        base += t + 1
-        missing += -rows[s] % block_rows
-        del left[s]
-    return out
+    return [(s, k // chunk, slots[s][k : k + chunk], starts[s][k : k + chunk]) for s in slots for k in range(0, len(slots[s]), chunk)]
 
 
 def mix_sources(
@@ -111,31 +98,30 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
     temperature: float = 0.5,
-    block_rows: int = 32,
+    block_rows: int | None = None,
     carry: tuple[str, ...] = (),
     bucket_rows: int = 4096,
 ) -> DataFrame:
     """Every row with its place in the mixture: doc_id, source, block, slot, place, position (gapless from 0).
 
     ``weights`` maps sources to positive numbers; left out, a source weighs rows ** temperature. A null source is a
-    source of its own and null ids rank like other values; equal rows get places of their own, in any order. An empty
-    table gives an empty result. ``carry`` columns come along unchanged. More than 1000 sources raise an error.
+    source of its own and null ids rank like other values; equal rows get places of their own, in any order (rows of
+    one id and source are ranked in one range). An empty table gives an empty result. ``carry`` columns come along
+    unchanged. ``block_rows``, left out, is 32, or more if the table would have over 4 million blocks.
     """
     spark = df.sparkSession
-    counts = {r[0]: r[1] for r in df.groupBy(F.col(source_col).cast("string").alias("s")).count().take(MAX_SOURCES + 1)}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    counts = {r[0]: r[1] for r in df.groupBy(F.col(source_col).cast("string").alias("s")).count().collect()}
     if weights is None:
         weights = {s: n**temperature for s, n in counts.items()}
     if missing := [s for s in counts if not weights.get(s, 0) > 0]:
         raise ValueError(f"sources without a positive weight: {missing[:5]}")
-    phases = spark.createDataFrame(plan(counts, weights, block_rows, CHUNK), PLAN)
+    block_rows = block_rows or max(BLOCK_ROWS, math.ceil(sum(counts.values()) / MAX_BLOCKS))
+    places = spark.createDataFrame([(s, c, list(x), list(y)) for s, c, x, y in plan(counts, weights, block_rows, CHUNK)], PLAN)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(6), F.col(id_col)).alias("__hash"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
     ranked = spread_rank(rows, ["source"], "__hash", ["doc_id"], max(1, math.ceil(max(counts.values(), default=0) / bucket_rows)), "__rank")
-    # An equality, so that a row meets only the few tuples of its own chunk.
-    chunk = F.floor(F.col("p_first") / CHUNK) == F.floor(F.col("block") / CHUNK)
-    placed = ranked.withColumn("block", F.floor(F.col("__rank") / block_rows)).join(F.broadcast(phases), F.col("source").eqNullSafe(F.col("p_source")) & chunk & (F.col("block") >= F.col("p_first")) & (F.col("block") < F.col("p_stop")))
-    slot = F.col("p_base") + F.col("p_slots")[(F.col("block") - F.col("p_first")).cast("int")]
-    placed = placed.withColumn("slot", slot.cast("long")).withColumn("place", F.col("__rank") % block_rows)
-    position = F.col("slot") * block_rows + F.col("place") - F.col("p_missing")
-    return placed.select("doc_id", "source", "block", "slot", "place", position.alias("position"), *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry) if c not in ("doc_id", "source")])
+    ranked = ranked.withColumn("block", F.floor(F.col("__rank") / block_rows)).withColumn("place", F.col("__rank") % block_rows)
+    # At most MAX_BLOCKS blocks of sixteen bytes, and a row for each source.
+    placed = ranked.join(F.broadcast(places), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("p_chunk") == F.floor(F.col("block") / CHUNK)))
+    at = (F.col("block") % CHUNK).cast("int")
+    columns = [F.col("p_slots")[at].alias("slot"), "place", (F.col("p_starts")[at] + F.col("place")).alias("position")]
+    return placed.select("doc_id", "source", "block", *columns, *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)])

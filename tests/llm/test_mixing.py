@@ -1,4 +1,6 @@
+import math
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -25,10 +27,35 @@ def test_whole_shares_sum():
 
 def test_plan_places_every_block_once():
     rows = {"a": 1000, "b": 33, "c": 1, None: 64}
-    slots = []
-    for s, first, stop, base, share, period, _, where in plan(rows, {"a": 5, "b": 1, "c": 3, None: 1}, 32, 64):
-        slots += [base + j // share * period + where[j % share] for j in range(stop - first)]
-    assert sorted(slots) == list(range(sum(-(-n // 32) for n in rows.values())))
+    found = plan(rows, {"a": 5, "b": 1, "c": 3, None: 1}, 32, 8)
+    assert sorted(x for _, _, slots, _ in found for x in slots) == list(range(sum(-(-n // 32) for n in rows.values())))
+    assert Counter(s for s, *_ in found) == {"a": 4, "b": 1, "c": 1, None: 1}
+
+
+def brute_places(rows, block):
+    """Slot and first position of every block by exact fractions, one slot at a time; weights are rows ** 0.5."""
+    left, done, out, at, slot = {s: -(-n // block) for s, n in rows.items()}, Counter(), {}, 0, 0
+    while left:
+        total = sum(rows[s] ** 0.5 for s in left)
+        w = {s: Fraction(rows[s] ** 0.5) / Fraction(total) for s in left}
+        ran, t = Counter(), 0
+        while all(left.values()):
+            due = [(math.ceil((ran[s] + 1) / w[s]), str(s), s) for s in left if math.floor(ran[s] / w[s]) <= t]
+            s = min(due, key=lambda x: x[:2])[2]
+            out[s, done[s]] = (slot, at)
+            at += min(block, rows[s] - done[s] * block)
+            done[s], ran[s], left[s], t, slot = done[s] + 1, ran[s] + 1, left[s] - 1, t + 1, slot + 1
+        left = {s: n for s, n in left.items() if n}
+    return out
+
+
+def test_query_against_brute_force(spark):
+    sizes = {"a": 700, "b": 301, "c": 97, None: 40}
+    rows = [(i, s, 1, "") for s, n in sizes.items() for i in range(n)]
+    got = mix_sources(spark.createDataFrame(rows, SCHEMA).repartition(3), bucket_rows=64).collect()
+    want = brute_places(sizes, 32)
+    assert {(r.source, r.block): (r.slot, r.position - r.place) for r in got} == want
+    assert sorted(r.position for r in got) == list(range(len(rows))) and {(r.source, r.block, r.place) for r in got} == {(s, k // 32, k % 32) for s, n in sizes.items() for k in range(n)}
 
 
 def test_rows(spark):
@@ -64,9 +91,9 @@ def test_irrational_weights_hold_over_many_blocks():
     weights = {s: n**0.5 for s, n in rows.items()} | {"g": 1e-3}
     rows["g"] = 3200
     order = {}
-    for s, first, stop, base, share, period, _, where in plan(rows, weights, 320, 1024):
-        assert first // 1024 == (stop - 1) // 1024
-        order |= {base + j // share * period + where[j % share]: s for j in range(stop - first)}
+    for s, chunk, slots, starts in plan(rows, weights, 320, 1024):
+        assert 0 < len(slots) == len(starts) <= 1024 and chunk >= 0
+        order |= dict.fromkeys(slots, s)
     assert sorted(order) == list(range(sum(-(-n // 320) for n in rows.values())))
     total, done = sum(weights.values()), Counter()
     for t in range(len(order)):
@@ -76,3 +103,9 @@ def test_irrational_weights_hold_over_many_blocks():
         if any(done[s] * 320 >= rows[s] for s in rows):
             break
     assert t > 90_000
+
+
+def test_more_sources_than_a_thousand(spark):
+    rows = [(i, f"s{i % 1500}", 1, "") for i in range(3000)]
+    got = mix_sources(spark.createDataFrame(rows, SCHEMA), dict.fromkeys({r[1] for r in rows}, 1.0)).collect()
+    assert sorted(r.position for r in got) == list(range(3000))
