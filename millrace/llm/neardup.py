@@ -144,11 +144,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(100 * common >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
-def _blocks(spark, huge: DataFrame, block: int) -> DataFrame:
+def _blocks(spark, huge: DataFrame, block: int) -> tuple[DataFrame, Table]:
     """Members of nodes (node, rid, comp) in blocks of about ``block``: node, first, second, part, rid, comp.
 
     Each pair of blocks (first, second) of a node that can hold a new link has the members of both, ``part`` being the
-    member's own. The node's largest component has the last blocks, which meet the blocks of other members only.
+    member's own. The node's largest component has the last blocks, which meet the blocks of other members only. With
+    it comes the table that it reads.
     """
     counts = huge.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("size"))
     whole = counts.groupBy("node").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("main"))
@@ -158,7 +159,7 @@ def _blocks(spark, huge: DataFrame, block: int) -> DataFrame:
     part = F.when(is_main, F.col("outer_parts") + F.pmod(place, "main_parts")).otherwise(F.pmod(place, "outer_parts"))
     met = F.col("outer_parts") + F.when(is_main, 0).otherwise(F.col("main_parts")) - 1
     cut = huge.join(shape.df, "node").select("node", "rid", "comp", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), met)).alias("other"))
-    return cut.select("node", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "rid", "comp")
+    return cut.select("node", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "rid", "comp"), shape
 
 
 def near_duplicates(
@@ -210,7 +211,8 @@ def near_duplicates(
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))).select("rid", "text")
     sets = Table(spark, texts.mapInArrow(_sets(k), "rid long, shingles array<long>"), "sets")
     if sets.df.count() > wanted.df.count():
-        sets = Table(spark, sets.df.dropDuplicates(["rid"]), "sets")
+        every, sets = sets, Table(spark, sets.df.dropDuplicates(["rid"]), "sets")
+        every.drop()
     links = [Table(spark, _verified(star.df, sets.df, percent), "links")]
     settled = components(links[0].df)
 
@@ -227,17 +229,21 @@ def near_duplicates(
     fresh.drop()
     middle = open_.df.where((F.col("members") > small_node) & (F.col("members") <= large_node))
     huge = open_.df.where(F.col("members") > large_node)
-    compared = []
+    compared, shapes = [], []
     if middle.head(1):
         # One task per node: at most `large_node` sets.
         compared.append(middle.select("node", "rid", "comp").join(sets.df, "rid").groupBy("node").applyInArrow(_compare_nodes(percent), "u long, v long"))
     if huge.head(1):
-        compared.append(_blocks(spark, huge, max(1, large_node // 2)).join(sets.df, "rid").groupBy("node", "first", "second").applyInArrow(_compare_nodes(percent), "u long, v long"))
+        cut, shape = _blocks(spark, huge, max(1, large_node // 2))
+        shapes.append(shape)
+        compared.append(cut.join(sets.df, "rid").groupBy("node", "first", "second").applyInArrow(_compare_nodes(percent), "u long, v long"))
     for found in compared:
         links.append(Table(spark, found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"))
     final = components(_union([x.df for x in links]))
     member = reps.df.join(final.df, reps.df.rid == final.df.u, "left").select("class", "least", F.coalesce("v", "rid").alias("comp"))
     member = Table(spark, member, "members")
+    for used in (reps, heads, met, star, wanted, sets, settled, marked, mixed, open_, *shapes, *links, final):
+        used.drop()
     lowest = Table(spark, member.df.groupBy("comp").agg(F.min("least").alias("component_id")), "lowest")
     # One row per component, then one row per class: the other sides can be split where they are hot.
     classes = member.df.join(lowest.df, "comp").select("class", "component_id")

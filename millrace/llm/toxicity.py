@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textarrays as ta
@@ -196,15 +197,20 @@ def scores(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
 
 
 def with_scores(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``df`` with one more double column: the probability that a text is toxic. Null and empty texts get the bias alone."""
+    """``df`` with one more double column: the probability that a text is toxic. Null and empty texts get the bias alone.
+
+    ``text_col`` may be a field of a struct column, as in "row.text".
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    place = df.columns.index(text_col)
+    holder, *field = text_col.split(".")
+    place = df.columns.index(holder)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            done = [scores(*ta.flat(part.column(place)), model) for part in ta.slices([batch], text_col, SLICE)]
+            texts = pc.struct_field(batch.column(place), field) if field else batch.column(place)
+            done = [scores(*ta.flat(part.column(0)), model) for part in ta.slices([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", SLICE)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(done))], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)
