@@ -4,26 +4,27 @@ exact weighted-shingle verification.
 A document is contaminated by an item of m words if one of its windows of m words (the whole document, if shorter) has a
 weighted Jaccard similarity of 0.8 or more to it on 5-word shingles (weights are counts). Such a window shares a
 shingle with the item, so only windows over a shared shingle are fingerprinted; the fingerprint is a 64-bit SimHash
-of the window's words. At similarity 0.8 two fingerprints differ in about 10 bits, hence a radius of 15: cut into 16
-blocks of 4 bits, two fingerprints within the radius agree in one block at least, so joining on (m, block, value) finds
-every such pair. Pairs within the radius are verified on the shingles themselves.
+of the window's words. At similarity 0.8 at most a ninth of the words differ and two fingerprints differ in about 10 bits
+(standard deviation 3), so a radius of 23 loses one such window in a million; others differ in about 32 bits. Cut into 24
+blocks of 2 or 3 bits, two fingerprints within the radius agree in one block at least, so joining on (item, block, value)
+finds every such pair. Pairs within the radius are verified on the shingles themselves.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .storage import Table
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 15
-BLOCKS = 16
-LANES = 16
-PART_WORDS = 50_000
-BROADCAST_ROWS = 200_000
+RADIUS = 23
+#: First bit and width of the blocks, one more than the radius: 16 of three bits, 8 of two.
+BLOCKS = [(3 * b, 3) for b in range(16)] + [(48 + 2 * b, 2) for b in range(8)]
+LANES = 32
+BROADCAST_BYTES = 16 << 20
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -51,107 +52,120 @@ def _runs(words: Column) -> Column:
 
 
 def _lanes() -> list[Column]:
-    """16 sums; each holds, in 16-bit fields, how many of the words have bit 4j, 4j+1, 4j+2 and 4j+3 of their hash set."""
+    """32 sums; each holds, in 32-bit fields, how many of the words have bit 2j and 2j + 1 of their hash set."""
     out = []
     for j in range(LANES):
-        nibble = F.shiftrightunsigned("hash", 4 * j)
-        fields = [F.shiftleft(F.shiftrightunsigned(nibble, b).bitwiseAND(F.lit(1).cast("long")), 16 * b) for b in range(4)]
-        out.append(F.sum(reduce(lambda x, y: x.bitwiseOR(y), fields)).alias(f"lane{j}"))
+        low, high = (F.shiftrightunsigned("hash", 2 * j + b).bitwiseAND(F.lit(1).cast("long")) for b in range(2))
+        out.append(F.sum(F.shiftleft(high, 32).bitwiseOR(low)).alias(f"lane{j}"))
     return out
 
 
 def _fingerprint(n: Column) -> Column:
     bits = []
     for j in range(LANES):
-        for b in range(4):
-            count = F.shiftrightunsigned(f"lane{j}", 16 * b).bitwiseAND(F.lit(0xFFFF).cast("long"))
-            bits.append(F.shiftleft((2 * count > n).cast("long"), 4 * j + b))
+        for b in range(2):
+            count = F.shiftrightunsigned(f"lane{j}", 32 * b).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+            bits.append(F.shiftleft((2 * count > n).cast("long"), 2 * j + b))
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
 def simhash(rows: DataFrame, keys: list[str], words: str) -> DataFrame:
-    """Fingerprints of word lists of at most 65,535 words: ``keys`` and fp."""
+    """Fingerprints of word lists: ``keys`` and fp."""
     exploded = rows.select(*keys, F.explode(words).alias("word")).select(*keys, F.xxhash64("word").alias("hash"))
     return exploded.groupBy(*keys).agg(*_lanes(), F.count(F.lit(1)).alias("n")).select(*keys, _fingerprint(F.col("n")).alias("fp"))
 
 
-def _nibble(fp: Column, b: int) -> Column:
-    return F.shiftrightunsigned(fp, 4 * b).bitwiseAND(F.lit(15).cast("long"))
+def _value(fp: Column, b: int) -> Column:
+    first, width = BLOCKS[b]
+    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
 def _blocks(fp: Column) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _nibble(fp, b).alias("value")) for b in range(BLOCKS)]))
+    return F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _value(fp, b).alias("value")) for b in range(len(BLOCKS))]))
 
 
 def _first_agreement(x: Column) -> Column:
-    return F.coalesce(*[F.when(_nibble(x, b) == 0, b) for b in range(BLOCKS)])
+    return F.coalesce(*[F.when(_value(x, b) == 0, b) for b in range(len(BLOCKS))])
 
 
-def _small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it has at most ``bound`` rows, otherwise left to a shuffled join."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def _small(df: DataFrame, text: str | None = None, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if it takes at most ``bound`` bytes, otherwise left to a shuffled join.
+
+    Its columns are numbers but for ``text``; it should read a written table, as it is read once to be measured.
+    """
+    rows, chars = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text)) if text else F.lit(0)).first()
+    return F.broadcast(df) if rows * 16 * len(df.columns) + (chars or 0) <= bound else df
+
+
+def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """item, part (a number of the row), m, words: items without words are left out."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("item"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    return rows.select(F.monotonically_increasing_id().alias("part"), "item", F.size("words").alias("m"), "words")
 
 
-def benchmark_parts(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item, part, m, words: items without words are left out, those of more than 50,000 words are cut into parts."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item"), words_of(F.col(text_col)).alias("all")).where(F.size("all") > 0)
-    cut = rows.select("item", F.explode(F.sequence(F.lit(0), F.size("all") - 1, F.lit(PART_WORDS))).alias("from"), "all")
-    return cut.select("item", F.slice("all", F.col("from") + 1, PART_WORDS).alias("words")).select(F.monotonically_increasing_id().alias("part"), "item", F.size("words").alias("m"), "words")
+def window_starts(hits: DataFrame) -> DataFrame:
+    """Of shared shingles (kid, n, part, m, q, pos) all windows over one: kid, part, m, start; each once.
+
+    A shingle adds the starts that reach it and lie behind those of the shingle before it.
+    """
+    low, top = F.greatest(F.lit(0), F.col("pos") + F.col("q") - F.col("m")), F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n") - F.col("m")))
+    ranged = hits.withColumn("top", top).withColumn("low", F.least(low, top))
+    before = F.lag("top").over(Window.partitionBy("kid", "part").orderBy("pos"))
+    first = F.greatest("low", F.coalesce(before + 1, "low"))
+    return ranged.withColumn("first", first).where("first <= top").select("kid", "part", "m", F.explode(F.sequence("first", "top")).alias("start"))
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Table:
     """Table (text_md5, n_items, item_id, similarity) of the distinct contaminated texts; item_id is the least of the most similar items."""
     spark = docs.sparkSession
-    parts = Table(spark, benchmark_parts(benchmark, item_col, item_text_col), "benchmark")
-    lengths = [r["q"] for r in parts.df.select(F.least("m", F.lit(SHINGLE)).alias("q")).distinct().collect()]
+    parts = Table(spark, benchmark_items(benchmark, item_col, item_text_col), "benchmark")
+    lengths = sorted(r["q"] for r in parts.df.select(F.least("m", F.lit(SHINGLE)).alias("q")).distinct().collect())
 
     def hashes(words: Column) -> Column:
-        return F.concat(F.array().cast("array<bigint>"), *[shingles_of(words, q) for q in sorted(lengths)])
+        return F.concat(F.array().cast("array<bigint>"), *[shingles_of(words, q) for q in lengths])
 
     def of_part() -> Column:
-        return F.coalesce(*[F.when(F.least("m", F.lit(SHINGLE)) == q, shingles_of(F.col("words"), q)) for q in sorted(lengths)], F.array().cast("array<bigint>"))
+        return F.coalesce(*[F.when(F.least("m", F.lit(SHINGLE)) == q, shingles_of(F.col("words"), q)) for q in lengths], F.array().cast("array<bigint>"))
 
-    known = parts.df.select("m", F.explode(of_part()).alias("shingle")).distinct()
+    known = Table(spark, parts.df.select("part", "m", F.explode(of_part()).alias("shingle")).distinct(), "benchmark-shingles")
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("text_md5"))
     # 1. Texts that share a shingle with the benchmark; copies count once.
     seen = named.select("doc_id", "text_md5", F.explode(_let(words_of(F.col("text")), hashes)).alias("shingle"))
-    sharing = Table(spark, seen.join(_small(known.select("shingle").distinct()), "shingle", "left_semi").groupBy("text_md5").agg(F.min("doc_id").alias("first_id")), "sharing")
+    sharing = Table(spark, seen.join(_small(known.df.select("shingle").distinct()), "shingle", "left_semi").groupBy("text_md5").agg(F.min("doc_id").alias("first_id")), "sharing")
     chosen = sharing.df.select(F.col("text_md5").alias("md5"), "first_id")
     texts = named.join(chosen, (F.col("text_md5") == F.col("md5")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["text_md5"])
     found = Table(spark, texts.select(F.monotonically_increasing_id().alias("kid"), "text_md5", words_of(F.col("text")).alias("words")), "shared-texts")
-    # 2. Item-sized windows over a shared shingle.
+    # 2. Item-sized windows over a shingle shared with the item.
     n = F.size("words")
     hit = []
-    for q in sorted(lengths):
+    for q in lengths:
         placed = found.df.select("kid", n.alias("n"), F.posexplode(shingles_of(F.col("words"), q)).alias("pos", "shingle"))
-        hit.append(placed.join(_small(known.where(F.least("m", F.lit(SHINGLE)) == q)), "shingle").withColumn("q", F.lit(q)))
+        hit.append(placed.join(_small(known.df.where(F.least("m", F.lit(SHINGLE)) == q)), "shingle").withColumn("q", F.lit(q)))
     if not hit:
         return Table(spark, found.df.select("text_md5", F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity")).limit(0), "contaminated")
-    hits = reduce(DataFrame.union, hit)
-    low, top = F.greatest(F.lit(0), F.col("pos") + F.col("q") - F.col("m")), F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n") - F.col("m")))
-    starts = hits.select("kid", "m", F.explode(F.when(low <= top, F.sequence(low, top)).otherwise(F.array(top))).alias("start")).distinct()
-    windows = starts.join(found.df.select("kid", "words"), "kid").select("kid", "m", "start", F.slice("words", F.col("start") + 1, F.col("m")).alias("words"))
+    starts = Table(spark, window_starts(reduce(DataFrame.union, hit)), "windows")
+    windows = starts.df.select("kid", "m", "start").distinct().join(found.df.select("kid", "words"), "kid").select("kid", "m", "start", F.slice("words", F.col("start") + 1, F.col("m")).alias("words"))
     # 3. Fingerprints, and all pairs within the radius by agreeing blocks.
     prints = simhash(windows, ["kid", "m", "start"], "words")
-    items = simhash(parts.df, ["part", "m"], "words").select("part", "m", F.col("fp").alias("item_fp"))
-    index = items.select("part", F.col("m").alias("item_m"), "item_fp", _blocks(F.col("item_fp")).alias("b")).select("part", "item_m", "item_fp", "b.*")
-    probes = prints.select("kid", "m", "start", "fp", _blocks(F.col("fp")).alias("b")).select("kid", "m", "start", "fp", F.col("b.block").alias("p_block"), F.col("b.value").alias("p_value"))
+    items = Table(spark, simhash(parts.df, ["part"], "words").select("part", F.col("fp").alias("item_fp"), _blocks(F.col("fp")).alias("b")).select("part", "item_fp", "b.*"), "fingerprints")
+    paired = starts.df.join(prints, ["kid", "m", "start"])
+    probes = paired.select("kid", "start", F.col("part").alias("p_part"), "fp", _blocks(F.col("fp")).alias("b")).select("kid", "start", "p_part", "fp", F.col("b.block").alias("p_block"), F.col("b.value").alias("p_value"))
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    meet = (F.col("m") == F.col("item_m")) & (F.col("p_block") == F.col("block")) & (F.col("p_value") == F.col("value"))
-    near = probes.join(_small(index), meet).where((_first_agreement(apart) == F.col("block")) & (F.bit_count(apart) <= RADIUS))
-    candidates = Table(spark, near.select("kid", "m", "start", "part"), "candidates")
+    meet = (F.col("p_part") == F.col("part")) & (F.col("p_block") == F.col("block")) & (F.col("p_value") == F.col("value"))
+    near = probes.join(_small(items.df), meet).where((_first_agreement(apart) == F.col("block")) & (F.bit_count(apart) <= RADIUS))
+    candidates = Table(spark, near.join(_small(parts.df.select("part", "m")), "part").select("kid", "m", "start", "part"), "candidates")
     # 4. Exact weighted similarity.
     runs = candidates.df.join(found.df.select("kid", "words"), "kid").select("kid", "start", "part", F.explode(_let(F.slice("words", F.col("start") + 1, F.col("m")), _runs)).alias("run"))
     weighed = runs.groupBy("kid", "start", "part", "run").agg(F.count(F.lit(1)).alias("a"))
-    weights = parts.df.select("part", F.explode(_runs(F.col("words"))).alias("run")).groupBy("part", "run").agg(F.count(F.lit(1)).alias("b"))
-    common = weighed.join(_small(weights), ["part", "run"], "left").groupBy("kid", "start", "part").agg(F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("both"), F.sum("a").alias("own"))
+    weights = Table(spark, parts.df.select("part", F.explode(_runs(F.col("words"))).alias("run")).groupBy("part", "run").agg(F.count(F.lit(1)).alias("b")), "weights")
+    common = weighed.join(_small(weights.df, "run"), ["part", "run"], "left").groupBy("kid", "start", "part").agg(F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("both"), F.sum("a").alias("own"))
     sized = parts.df.select("part", "item", F.greatest(F.lit(1), F.col("m") - SHINGLE + 1).alias("full"))
     similar = common.join(_small(sized), "part").withColumn("similarity", F.col("both") / (F.col("own") + F.col("full") - F.col("both"))).where(F.col("similarity") >= SIMILARITY)
     by_item = similar.groupBy("kid", "item").agg(F.max("similarity").alias("similarity"))
     best = by_item.groupBy("kid").agg(F.count(F.lit(1)).alias("n_items"), F.max(F.struct("similarity", (-F.col("item")).alias("minus"))).alias("b"))
     named_again = best.join(found.df.select("kid", "text_md5"), "kid")
     out = Table(spark, named_again.select("text_md5", "n_items", (-F.col("b.minus")).alias("item_id"), F.col("b.similarity").alias("similarity")), "contaminated")
-    for used in (sharing, found, candidates, parts):
+    for used in (sharing, found, candidates, parts, known, starts, items, weights):
         used.drop()
     return out
 

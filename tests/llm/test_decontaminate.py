@@ -61,16 +61,12 @@ def test_against_brute_force(spark, world):
     got = contamination(df, bench).collect()
     assert len(got) == len(docs)
     texts = {i: brute(t, items) for i, t in docs}
-    wrong = []
     for r in got:
         want = texts[r.doc_id]
-        if r.contaminated != bool(want):
-            wrong.append((r.doc_id, want))
-        elif want and r.n_items == len(want):
+        assert (r.contaminated, r.n_items) == (bool(want), len(want)), (r, want)
+        if want:
             best = max(want.values())
             assert r.item_id == min(k for k, v in want.items() if v == best) and abs(r.similarity - best) < 1e-12
-    # No clean text is ever taken for a leak; fingerprints may miss a few that only just reach the threshold.
-    assert all(want and max(want.values()) < 0.95 for _, want in wrong) and len(wrong) <= 2
     clean = without_contaminated(df, bench)
     assert clean.columns == df.columns
     assert clean.count() == sum(not r.contaminated for r in got)
@@ -87,3 +83,27 @@ def test_simhash_bits(spark):
     got = simhash(spark.createDataFrame([(1, ["a", "b", "c", "a", "é"])], "k int, words array<string>"), ["k"], "words").first().fp
     hashes = [r.h & (2**64 - 1) for r in spark.createDataFrame([("a",), ("b",), ("c",), ("a",), ("é",)], "w string").select(F.xxhash64("w").alias("h")).collect()]
     assert got & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 5)
+
+
+def test_windows_just_over_the_threshold_are_all_found(spark):
+    """Recall where fingerprints are furthest apart: words at both ends replaced until 0.8 is only just reached."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items, docs = [], []
+    for i in range(400):
+        item = [rng.choice(vocabulary) for _ in range(rng.choice([13, 23, 40, 94, 150]))]
+        lost = (len(item) - 4) // 9
+        left = rng.randint(0, lost)
+        leak = [rng.choice("xyz") + str(j) for j in range(left)] + item[left : len(item) - lost + left] + [rng.choice("xyz") + str(j) for j in range(lost - left)]
+        items.append((i, " ".join(item), 0))
+        docs.append((i, " ".join([*rng.choices(vocabulary, k=5), *leak, *rng.choices(vocabulary, k=5)]), 0, 0, ""))
+    got = contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert all(r.contaminated and r.item_id == r.doc_id for r in got), [r for r in got if not r.contaminated]
+
+
+def test_an_item_of_many_words_is_judged_whole(spark):
+    rng = random.Random(12)
+    words_ = [f"w{rng.randrange(10**6)}" for _ in range(66_000)]
+    half = " ".join(words_[:33_000])
+    got = contamination(spark.createDataFrame([(1, half, 0, 0, ""), (2, " ".join(words_), 0, 0, "")], DOCS), spark.createDataFrame([(1, " ".join(words_), 0)], ITEMS)).collect()
+    assert {r.doc_id: r.contaminated for r in got} == {1: False, 2: True}
