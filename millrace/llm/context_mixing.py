@@ -127,8 +127,14 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return bare[head], np.add.reduceat((keys & np.uint64(1)).astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted; a plain sort is several times as fast as ``np.unique`` here."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.unique(np.concatenate([p[0] for p in parts])) if parts else np.zeros(0, np.uint64)
+    keys = distinct(np.concatenate([p[0] for p in parts]))
     counts = np.zeros(len(keys), np.int64)
     for k, c in parts:
         counts[np.searchsorted(keys, k)] += c
@@ -146,7 +152,7 @@ def _sample_keys(batches):
     """One in eight of the distinct contexts of each slice, by a hash."""
     for batch in ta.slices(batches, "text", 1 << 20):
         stream, offsets, _, _ = tokens_stream(batch.column("text"))
-        contexts = np.unique(context_keys(stream, offsets) >> np.uint64(8))
+        contexts = distinct(context_keys(stream, offsets) >> np.uint64(8))
         yield pa.RecordBatch.from_arrays([pa.array([_pack_sorted(contexts[ta.mix(contexts) & np.uint64(7) == 0])], pa.binary())], names=["contexts"])
 
 
@@ -158,8 +164,8 @@ def slab_cuts(docs: DataFrame, train_bytes: int, slab_bytes: int) -> np.ndarray:
     share = min(1.0, (CUT_BYTES + CUT_BYTES_PER_SLAB * n) / train_bytes)
     picked = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)
     found = docs.where(F.col("train") & picked).select("text").mapInArrow(_sample_keys, "contexts binary").collect()
-    contexts = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_unpack_sorted(r.contexts) for r in found]]))
-    return np.unique(contexts[np.arange(1, n) * len(contexts) // n]) << np.uint64(8) if len(contexts) else contexts
+    contexts = distinct(np.concatenate([np.zeros(0, np.uint64), *[_unpack_sorted(r.contexts) for r in found]]))
+    return distinct(contexts[np.arange(1, n) * len(contexts) // n]) << np.uint64(8) if len(contexts) else contexts
 
 
 def _word_cuts(n: int) -> np.ndarray:
@@ -171,10 +177,11 @@ def _requests(cuts: np.ndarray, word_slabs: int):
         bytes_, words = [], []
         for batch, stream_keys, offsets, word_keys, first in _block_keys(table):
             train = batch.column("train").to_numpy(zero_copy_only=False)
-            bytes_.append(_counted(stream_keys, np.repeat(train, np.diff(offsets))))
-            words.append(_counted(word_keys, np.repeat(train, np.diff(first))))
+            bytes_.append((stream_keys, np.repeat(train, np.diff(offsets))))
+            words.append((word_keys, np.repeat(train, np.diff(first))))
         rows = []
-        for base, (keys, counts), at in ((0, _added(bytes_), cuts), (len(cuts) + 1, _added(words), _word_cuts(word_slabs))):
+        for base, parts, at in ((0, bytes_, cuts), (len(cuts) + 1, words, _word_cuts(word_slabs))):
+            keys, counts = _counted(*map(np.concatenate, zip(*parts, strict=True)))
             edges = np.concatenate([[0], np.searchsorted(keys, at), [len(keys)]])
             for s in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[s], edges[s + 1])
