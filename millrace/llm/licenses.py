@@ -81,18 +81,19 @@ def _matches(expr: regex.Pattern, sentence: str, first: int, last: int, notice:
                 yield sum(m.fuzzy_counts), start, end
 
 
-def fuzzy_notices(sentence: str) -> list[tuple[str, int, int, int]]:
-    """Notices in a text of lower-case words joined by single spaces: label, edits, start and end character.
+def fuzzy_notices(sentence: str) -> tuple[list[tuple[str, int, int, int]], float]:
+    """Notices in a text of lower-case words joined by single spaces: label, edits, start and end character; the score.
 
-    Every seed says where its notice would begin; places within the same few characters are looked at together. Of
-    matches of one notice that overlap, the one with fewer edits is reported, the earlier one among equals.
+    Every seed says where its notice would begin; places within the same few characters are looked at together. The
+    score is 1 minus edits per character of the best match, 0 without any. Of matches of one notice that overlap, the
+    one with fewer edits is reported, the earlier one among equals.
     """
     seeds, exprs, notices = _automaton()
     near: dict[int, set[int]] = {}
     for end, (length, uses) in seeds.iter(sentence):
         for number, at in uses:
             near.setdefault(number, set()).add(end + 1 - length - at)
-    out = []
+    out, score = [], 0.0
     for number, begins in near.items():
         notice, label = notices[number]
         edits = edits_allowed(notice)
@@ -106,12 +107,13 @@ def fuzzy_notices(sentence: str) -> list[tuple[str, int, int, int]]:
         starts: list[int] = []
         ends: list[int] = []
         for cost, start, end in sorted(found):
+            score = max(score, 1 - cost / (end - start))
             at = bisect.bisect(starts, start)
             if (at == 0 or ends[at - 1] <= start) and (at == len(starts) or end <= starts[at]):
                 starts.insert(at, start)
                 ends.insert(at, end)
                 out.append((label, cost, start, end))
-    return sorted(out, key=lambda x: x[2:])
+    return sorted(out, key=lambda x: x[2:]), score
 
 
 def scan_text(text: bytes) -> dict:
@@ -134,9 +136,8 @@ def scan_text(text: bytes) -> dict:
             places.append(before)
             base.add(label)
             at = padded.find(f" {phrase} ", at + 1)
-    found = fuzzy_notices(sentence)
-    quality = [1.0] * bool(places) + [1 - edits / max(1, stop - start) for _, edits, start, stop in found]
-    return {"n_words": len(starts), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": base, "labels": base | {x[0] for x in found}, "score": float(max(quality, default=0.0)), "spans": found}
+    found, score = fuzzy_notices(sentence)
+    return {"n_words": len(starts), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": base, "labels": base | {x[0] for x in found}, "score": 1.0 if places else score, "spans": found}
 
 
 SCAN = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,edits:int,start:int,end:int>>"
