@@ -2,26 +2,26 @@
 
 Windows of 100 bytes are dealt out by their minimizer (the least hash among the 24-byte strings inside): neighbouring
 windows mostly share it, so a text is cut into stretches of windows, and equal windows always carry the same anchor at
-the same offset. Anchors that occur once in the corpus settle all their windows; of equal stretches only the first
-goes on. Stretches that share an anchor but differ are suffix-sorted: a mergesort whose comparisons find the common
+the same offset. Anchors that occur once in the corpus settle all their windows; of equal stretches (by a digest of 128
+bits, verified by a second hash of 64 bits and the length, not byte by byte) only the first goes on. Stretches that share
+an anchor but differ are suffix-sorted: a mergesort whose comparisons find the common
 extension of two suffixes by binary search over prefix polynomial hashes, so each takes a logarithmic number of steps;
 what the hashes call equal is verified byte by byte. Of each class of equal windows the first start stays.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
-import time
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import textarrays as ta
-from .storage import Table, shuffle_width
+from .storage import Table, release, shuffle_width
 
 WINDOW = 100
 ANCHOR = 24
@@ -75,7 +75,7 @@ def _emit(batches):
             yield pa.RecordBatch.from_arrays([*[c[b] for c in columns], pa.array(start[b].astype(np.int32)), pa.array((run[b] << 8 | gap[b]).astype(np.int32))], names=["anchor", "doc_id", "text_key", "start", "shape"])
 
 
-DIGESTS = STRETCHES + ", digest binary"
+DIGESTS = STRETCHES + ", digest binary, check long"
 CONTENTS = STRETCHES + ", bucket long, blocks long, content binary"
 
 
@@ -99,7 +99,8 @@ def _digests(batches):
     for batch in ta.slices(batches, "text"):
         for columns, content in _cut_out(batch, []):
             made = pa.array([hashlib.blake2b(c, digest_size=16).digest() for c in content], pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns, made], names=["anchor", "doc_id", "text_key", "start", "shape", "digest"])
+            check = pa.array(np.array([xxhash.xxh3_64_intdigest(c) for c in content], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*columns, made, check], names=["anchor", "doc_id", "text_key", "start", "shape", "digest", "check"])
 
 
 def _contents(batches):
@@ -267,14 +268,6 @@ def _cut(with_text: bool):
     return run
 
 
-def _free(spark) -> None:
-    """Let the driver's JVM notice what is no longer used, so that shuffle files of finished steps are deleted."""
-    for _ in range(2):  # what the first round lets go of is only deleted once the cleaner has seen it
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def _same(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Join on doc_id (null equals null) and text_key."""
     named = right.withColumnsRenamed({k: f"__{k}" for k in _KEYS})
@@ -285,30 +278,34 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, the remaining bytes).
 
     Documents are ordered by id, a null id last; different texts of one id by a hash of the text. Rows that agree in
-    id and text count as one document and share its result. A null text counts as empty; texts of less than 100 bytes
+    id and text count as one document, are read as one, and share its result. A null text counts as empty; texts of less than 100 bytes
     lose nothing. Other columns are not read.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
     every = Table(spark, docs.select(*_KEYS, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256")), "whole")
+    repeated = Table(spark, every.df.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "repeated")
+    if repeated.df.head(1):
+        # Copies of a row meet in an aggregate, which starts before the shuffle, so any number of them is one row per task.
+        docs = _same(docs, repeated.df, "left_anti").union(_same(docs, repeated.df, "left_semi").dropDuplicates(_KEYS))
     emitted = Table(spark, docs.where(F.octet_length("text") >= WINDOW).mapInArrow(_emit, STRETCHES), "stretches")
-    _free(spark)
-    # Rows that are repeated emit the same stretch twice; that only means one more anchor to look at.
     shared = Table(spark, emitted.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-    _free(spark)
+    release(spark)
     uses = F.collect_list(F.struct("anchor", "start", "shape")).alias("uses")
     lists = Table(spark, emitted.df.join(shared.df, "anchor").groupBy(*_KEYS).agg(uses), "lists")
     shared.drop()
     emitted.drop()
-    _free(spark)
+    release(spark)
     texts = Table(spark, _same(docs.select(*_KEYS, "text"), lists.df), "texts")
     lists.drop()
-    _free(spark)
+    release(spark)
     # Equal stretches: the first stands for all.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "start")
     digests = texts.df.mapInArrow(_digests, DIGESTS)
-    firsts = Table(spark, digests.groupBy("anchor", "digest").agg(F.min(order).alias("o"), F.first("shape").alias("shape")).select("anchor", "digest", "o.doc_id", "o.text_key", "o.start", "shape"), "firsts")
-    _free(spark)
+    same = (F.min("check") == F.max("check")) & (F.min("shape") == F.max("shape"))
+    found = digests.groupBy("anchor", "digest").agg(F.min(order).alias("o"), F.min("shape").alias("shape"), same.alias("same"))
+    verified = F.when(F.col("same"), F.col("shape")).otherwise(F.raise_error(F.lit("two different stretches share a digest")).cast("int"))
+    firsts = Table(spark, found.select("anchor", "digest", "o.doc_id", "o.text_key", "o.start", verified.alias("shape")), "firsts")
     several = Table(spark, firsts.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
     total = several.df.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_width(spark), math.ceil(total / bucket_stretches))
@@ -317,23 +314,23 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     block = F.pmod(F.xxhash64("digest"), blocks)
     left = firsts.df.join(several.df, "anchor").select("anchor", *_KEYS, "start", "shape", F.pmod(F.xxhash64("anchor", block), F.lit(buckets)).alias("bucket"), blocks.alias("blocks"))
     asked = Table(spark, left.groupBy(*_KEYS).agg(F.collect_list(F.struct("anchor", "start", "shape", "bucket", "blocks")).alias("uses")), "asked")
-    _free(spark)
+    release(spark)
     dealt = _same(texts.df.select(*_KEYS, "text"), asked.df).mapInArrow(_contents, CONTENTS)
     resolved = Table(spark, dealt.groupBy("bucket").applyInArrow(_resolve, FIRSTS), "resolved")
     asked.drop()
-    _free(spark)
+    release(spark)
     alone = firsts.df.join(several.df, "anchor", "left_anti").select(*_KEYS, "start", F.shiftright("shape", 8).alias("run"))
     hot = resolved.df.where("window is not null").groupBy("window").agg(F.min(order).alias("o")).select("o.doc_id", "o.text_key", "o.start", F.lit(1).alias("run"))
     parts = [alone, resolved.df.where("window is null").select(*_KEYS, "start", "run"), hot]
     first_runs = Table(spark, reduce(DataFrame.union, parts).groupBy(*_KEYS).agg(F.collect_list(F.struct("start", "run")).alias("firsts")), "first-runs")
     for used in (firsts, several, resolved):
         used.drop()
-    _free(spark)
     slim = texts.df.select(*_KEYS, "text", F.transform("uses", lambda u: F.struct(u["start"].alias("start"), u["shape"].alias("shape"))).alias("uses"))
-    cut = Table(spark, _same(slim, first_runs.df, "left").mapInArrow(_cut(with_text), CUT).dropDuplicates(_KEYS), "cut")
-    for used in (texts, first_runs):
+    release(spark)
+    cut = Table(spark, _same(slim, first_runs.df, "left").mapInArrow(_cut(with_text), CUT), "cut")
+    for used in (texts, first_runs, repeated):
         used.drop()
-    _free(spark)
+    release(spark)
     done = _same(every.df, cut.df, "left")
     columns = [F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256")]
     return done.select("doc_id", "n_bytes", *columns, *(["kept_text"] if with_text else []))

@@ -51,6 +51,15 @@ def test_against_brute_force(spark, hot):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows)
 
 
+def test_many_copies_of_a_row_and_a_long_text(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    rows = [(None, "z" * 50 + "".join(rng.choice("abc") for _ in range(300)), 1, "", 1)] * 400 + [(4, long[1_000_000:1_000_400], 1, "", 1), (3, long, 1, "", 1)]
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()
+    assert len(got) == 402 and {(r.n_removed, r.n_spans) for r in got if r.doc_id is None} == {(0, 0)}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in got if r.doc_id} == {3: (3_000_000, 0, 0), 4: (400, 400, 1)}
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
