@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-from operator import add
+import math
 from functools import reduce
+from itertools import combinations_with_replacement
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-MAX_BUCKETS = 64
+from millrace.operators.quantiles import quantiles
+from millrace.storage import Table, shuffle_width
+
+RANGE_ROWS = 1_000_000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -22,24 +26,19 @@ def _ordered(keys: list[str]) -> list[Column]:
 def with_position(df: DataFrame, order_by: list[str], name: str = "_pos", buckets: int | None = None) -> DataFrame:
     """0-based position in the order of ``order_by`` (nulls last), without sorting in one task.
 
-    Cut points from a bounded random sample of the first key split the rows into ranges; a position is the row's number within
-    its range plus the sizes of the ranges before. ``order_by`` should be a total key.
+    The rows are sorted in ranges of the whole key, about one for a million rows, and written once with their number in
+    the range; a position is that number plus the sizes of the ranges before. ``order_by`` should be a total key.
     """
     spark = df.sparkSession
-    n = min(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
-    key = F.col(order_by[0])
-    found = [r[0] for r in df.select(key).where(key.isNotNull()).orderBy(F.rand(7)).limit(50 * n).collect()] if n > 1 else []
-    cuts = sorted(set(sorted(found)[:: max(1, len(found) // n)]))
-    part = reduce(add, [(key >= F.lit(c)).cast("int") for c in cuts], F.lit(0)) if cuts else F.lit(0)
-    cut = df.withColumn("__part", F.when(key.isNull(), len(cuts) + 1).otherwise(part))
-    sizes = {r["__part"]: r["count"] for r in cut.groupBy("__part").count().collect()}
-    before, starts = 0, []
-    for p in range(len(cuts) + 2):
-        starts.append(before)
-        before += sizes.get(p, 0)
-    start = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("__part") + 1)
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*_ordered(order_by)))
-    return cut.withColumn(name, start + rank - 1).drop("__part")
+    n = buckets or max(shuffle_width(spark), math.ceil(df.count() / RANGE_ROWS))
+    ranged = df.repartitionByRange(n, *_ordered(order_by)).sortWithinPartitions(*_ordered(order_by))
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = Table(spark, ranged.select("*", F.spark_partition_id().alias("__part"), inside.alias("__inside")), "positions").df
+    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range.
+    starts = rows.groupBy(F.col("__part").alias("__r")).agg(F.count(F.lit(1)).alias("__n")).select("__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    placed = rows.join(F.broadcast(starts), F.col("__part") == F.col("__r"))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__start") + F.col("__inside")).alias(name))
 
 
 def shape(df: DataFrame) -> tuple[int, int]:
@@ -122,31 +121,44 @@ STATISTICS = {
     "var": F.var_samp,
     "min": F.min,
     "max": F.max,
-    "median": lambda c: F.percentile(c, 0.5),
 }
 
 
+def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Two results with one row per group side by side; null groups are equal."""
+    named = right.withColumnsRenamed({c: f"__by{i}" for i, c in enumerate(by)})
+    if not by:
+        return left.withColumn("__one", F.lit(1)).join(F.broadcast(named.withColumn("__two", F.lit(1))), F.col("__one") == F.col("__two")).drop("__one", "__two")
+    same = reduce(and_, [left[c].eqNullSafe(named[f"__by{i}"]) for i, c in enumerate(by)])
+    return left.join(named, same).drop(*[f"__by{i}" for i in range(len(by))])
+
+
 def groupby(df: DataFrame, by: str | list[str], values: list[str], statistics: tuple[str, ...] = ("count", "sum", "mean", "min", "max", "std")) -> DataFrame:
-    keys = [by] if isinstance(by, str) else by
-    return df.groupBy(*keys).agg(*[STATISTICS[s](F.col(v)).alias(f"{v}_{s}") for v in values for s in statistics])
+    """Statistics of columns by group; the median is exact."""
+    keys = [by] if isinstance(by, str) else list(by)
+    out = df.groupBy(*keys).agg(*[STATISTICS[s](F.col(v)).alias(f"{v}_{s}") for v in values for s in statistics if s != "median"], F.count(F.lit(1)).alias("__rows"))
+    if "median" in statistics:
+        out = _beside(out, quantiles(df, {f"__m_{v}": F.col(v) for v in values}, [0.5], keys), keys)
+        out = out.withColumns({f"{v}_median": F.col(f"__m_{v}")[0] for v in values})
+    return out.select(*keys, *[f"{v}_{s}" for v in values for s in statistics])
 
 
-def profile(name: str) -> list[Column]:
+def _moments(name: str) -> list[Column]:
     c = F.col(name).cast("double")
-    low, middle, high = (F.percentile(c, q) for q in (0.25, 0.5, 0.75))
-    return [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), low.alias("p25"), middle.alias("p50"), high.alias("p75"), F.max(c).alias("max")]
+    return [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
 
 
-def describe(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
-    """One row per column (and group): count, mean, std, min, exact quartiles, max. One pass over the data.
+def _profile(moments: Column, quartiles: Column) -> list[Column]:
+    return [*[moments[n].alias(n) for n in ("count", "mean", "std", "min")], *[quartiles[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], moments["max"].alias("max")]
 
-    Quartiles keep a map of the distinct values of a column: give ``approximate_describe`` very high cardinalities.
-    """
-    names = columns or numeric_columns(df)
-    packed = [F.struct(*profile(c)).alias(f"s{i}") for i, c in enumerate(names)]
-    wide = df.groupBy(*(by or [])).agg(*packed)
-    entries = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("s")) for i, c in enumerate(names)]))
-    return wide.select(*(by or []), entries.alias("e")).select(*(by or []), "e.column", "e.s.*")
+
+def describe(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """One row per column (and group): count, mean, std, min, exact quartiles, max."""
+    names, keys = columns or numeric_columns(df), list(by or [])
+    wide = df.groupBy(*keys).agg(*[F.struct(*_moments(c)).alias(f"__s{i}") for i, c in enumerate(names)])
+    wide = _beside(wide, quantiles(df, {f"__q{i}": F.col(c) for i, c in enumerate(names)}, [0.25, 0.5, 0.75], keys), keys)
+    entries = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *_profile(F.col(f"__s{i}"), F.col(f"__q{i}"))) for i, c in enumerate(names)]))
+    return wide.select(*keys, entries.alias("e")).select(*keys, "e.*")
 
 
 def approximate_describe(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
@@ -162,7 +174,8 @@ def approximate_describe(df: DataFrame, columns: list[str] | None = None, accura
 
 def series_stats(df: DataFrame, name: str) -> DataFrame:
     c = F.col(name)
-    return df.agg(*profile(name), F.sum(c).alias("sum"), F.var_samp(c).alias("var"), F.count_distinct(c).alias("n_unique"))
+    wide = df.agg(F.struct(*_moments(name)).alias("__s"), F.sum(c).alias("sum"), F.var_samp(c).alias("var"), F.count_distinct(c).alias("n_unique"))
+    return _beside(wide, quantiles(df, {"__q": c}, [0.25, 0.5, 0.75]), []).select(*_profile(F.col("__s"), F.col("__q")), "sum", "var", "n_unique")
 
 
 def corr(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,9 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.operators.frame import with_position
+from millrace.operators.quantiles import quantiles
+
 
 class Transform:
     """``fit`` learns from a DataFrame, ``transform`` adds or replaces columns."""
@@ -52,28 +55,39 @@ class MinMaxScaler(_Scaler):
 class RobustScaler(_Scaler):
     """(x - median) / interquartile range, exact."""
 
-    def statistics(self, x):
-        return F.percentile(x, 0.5), F.percentile(x, 0.75) - F.percentile(x, 0.25)
+    def fit(self, df):
+        row = quantiles(df, {f"q{i}": F.col(c) for i, c in enumerate(self.columns)}, [0.25, 0.5, 0.75]).first()
+        found = [row[f"q{i}"] if row else [None] * 3 for i in range(len(self.columns))]
+        self.moments = {c: (m, None if low is None else high - low) for c, (low, m, high) in zip(self.columns, found, strict=True)}
+        return self
 
 
 class LabelEncoder(Transform):
-    """Classes in ascending order to 0..k-1; ``inverse_transform`` undoes it. Classes are expected to be few."""
+    """Classes in ascending order to 0..k-1; ``inverse_transform`` undoes it.
+
+    Up to ``few`` classes are part of the plan; more stay a table, which is joined.
+    """
 
-    def __init__(self, column: str, out: str = "label", max_classes: int = 10_000):
-        self.column, self.out, self.max_classes = column, out, max_classes
+    def __init__(self, column: str, out: str = "label", few: int = 10_000):
+        self.column, self.out, self.few = column, out, few
 
     def fit(self, df):
-        found = df.select(self.column).where(F.col(self.column).isNotNull()).distinct().limit(self.max_classes + 1).collect()
-        if len(found) > self.max_classes:
-            raise ValueError("too many classes")
-        self.classes = sorted(r[0] for r in found)
+        every = df.select(F.col(self.column).alias("__class")).where(F.col("__class").isNotNull()).distinct()
+        found = every.limit(self.few + 1).collect()
+        self.classes = sorted(r[0] for r in found) if len(found) <= self.few else None
+        self.table = None if self.classes is not None else with_position(every, ["__class"], "__place")
         return self
 
     def transform(self, df):
+        if self.table is not None:
+            joined = df.join(self.table, F.col(self.column) == F.col("__class"), "left")
+            return joined.withColumn(self.out, F.col("__place").cast("int")).drop("__class", "__place")
         place = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col(self.column)) - 1
         return df.withColumn(self.out, F.when(place >= 0, place.cast("int")))
 
     def inverse_transform(self, df, out: str = "class"):
+        if self.table is not None:
+            return df.join(self.table, F.col(self.out) == F.col("__place"), "left").withColumn(out, F.col("__class")).drop("__class", "__place")
         return df.withColumn(out, F.get(F.array(*[F.lit(c) for c in self.classes]), F.col(self.out)))
 
 
@@ -85,6 +99,8 @@ class OneHotEncoder(Transform):
 
     def fit(self, df):
         self.classes = LabelEncoder(self.column).fit(df).classes
+        if self.classes is None:
+            raise ValueError("a column for each class: more than 10,000 classes are too many")
         return self
 
     def transform(self, df):
@@ -117,12 +133,18 @@ class SimpleImputer(Transform):
         self.columns, self.strategy, self.fill_value = columns, strategy, fill_value
 
     def fit(self, df):
-        kinds = {"mean": F.avg, "median": lambda x: F.percentile(x, 0.5), "most_frequent": lambda x: F.mode(x, True)}
+        known = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in self.columns}
         if self.strategy == "constant":
             self.values = dict.fromkeys(self.columns, self.fill_value)
+        elif self.strategy == "median":
+            row = quantiles(df, known, [0.5]).first()
+            self.values = {c: row[c][0] if row else None for c in self.columns}
+        elif self.strategy == "most_frequent":
+            # Counts by value, so that no task holds all values; the least of the most frequent.
+            best = F.max(F.struct("count", (-F.col("x")).alias("y")))["y"]
+            self.values = {c: None if (y := df.select(x.alias("x")).where("x is not null").groupBy("x").count().agg(best).first()[0]) is None else -y for c, x in known.items()}
         else:
-            row = df.agg(*[kinds[self.strategy](F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in self.columns]).first()
-            self.values = row.asDict()
+            self.values = df.agg(*[F.avg(x).alias(c) for c, x in known.items()]).first().asDict()
         return self
 
     def transform(self, df):
