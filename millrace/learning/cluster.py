@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators.frame import with_position
 from millrace.operators.linalg import gram
+from millrace.storage import Table
 
 
 def _distance(features: list[str], centre) -> F.Column:
@@ -48,38 +49,45 @@ class DBSCAN:
     """Density clusters: grid cells of side eps meet their neighbours, cores join by least-label propagation.
 
     ``fit`` returns key, label (-1 noise; clusters numbered by their least core key), core. Points count themselves.
-    Labels are checkpointed every few rounds when the session has a checkpoint folder.
+    Pairs, cores and the labels of every fourth round are written tables, which cut the lineage.
     """
 
-    def __init__(self, features: list[str], eps: float, min_points: int, key: str = "id"):
-        self.features, self.eps, self.min_points, self.key = features, eps, min_points, key
+    def __init__(self, features: list[str], eps: float, min_points: int, key: str = "id", max_rounds: int = 1000):
+        self.features, self.eps, self.min_points, self.key, self.max_rounds = features, eps, min_points, key, max_rounds
 
     def fit(self, df: DataFrame) -> DataFrame:
-        d = len(self.features)
+        d, spark = len(self.features), df.sparkSession
         points = df.select(F.col(self.key).cast("long").alias("p"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(self.features)]).withColumns({f"g{i}": F.floor(F.col(f"x{i}") / self.eps) for i in range(d)})
         steps = F.explode(F.array(*[F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate(step)]) for step in product((-1, 0, 1), repeat=d)]))
         moved = points.withColumn("s", steps).select(F.col("p").alias("q"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(d)], *[(F.col(f"g{i}") + F.col(f"s.s{i}")).alias(f"g{i}") for i in range(d)])
         apart = sum(((F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}")) for i in range(d)), F.lit(0.0))
-        near = points.join(moved, [f"g{i}" for i in range(d)]).where(apart <= self.eps * self.eps).select("p", "q").persist()
-        cores = near.groupBy("p").count().where(F.col("count") >= self.min_points).select("p").persist()
-        edges = near.join(cores, "p").join(cores.withColumnRenamed("p", "q"), "q").select("p", "q").persist()
-        labels, spark = cores.select("p", F.col("p").alias("label")).persist(), df.sparkSession
-        for turn in range(1000):
-            spread = edges.join(labels.select(F.col("p").alias("q"), "label"), "q").groupBy("p").agg(F.min("label").alias("label"))
+        near = Table(spark, points.join(moved, [f"g{i}" for i in range(d)]).where(apart <= self.eps * self.eps).select("p", "q"), "near")
+        cores = Table(spark, near.df.groupBy("p").count().where(F.col("count") >= self.min_points).select("p"), "cores")
+        edges = Table(spark, near.df.join(cores.df, "p").join(cores.df.withColumnRenamed("p", "q"), "q").where("p <> q").select("p", "q"), "edges")
+        labels, kept = cores.df.select("p", F.col("p").alias("label")), None
+        for turn in range(self.max_rounds):
+            reached = edges.df.join(labels.select(F.col("p").alias("q"), "label"), "q").select("p", "label").union(labels.select("p", "label"))
+            spread = reached.groupBy("p").agg(F.min("label").alias("label"))
             # Then follow the label's own label: paths halve in every round.
             jumped = spread.join(labels.select(F.col("p").alias("label"), F.col("label").alias("far")), "label").select("p", F.least("label", "far").alias("label"))
-            if turn % 4 == 3 and spark.sparkContext.getCheckpointDir():
-                jumped = jumped.checkpoint()
-            jumped = jumped.persist()
-            changed = jumped.join(labels.withColumnRenamed("label", "old"), "p").where("label <> old").limit(1).count()
-            labels = jumped
+            before, kept = kept, Table(spark, jumped, "labels") if turn % 4 == 3 else kept
+            after = kept.df if turn % 4 == 3 else jumped.persist()
+            changed = after.join(labels.withColumnRenamed("label", "old"), "p").where("label <> old").limit(1).count()
+            labels.unpersist()
+            labels = after
+            if before and before is not kept:
+                before.drop()
             if not changed:
                 break
-        border = near.join(labels.select(F.col("p").alias("q"), "label"), "q").groupBy("p").agg(F.min("label").alias("first"))
-        out = points.select("p").join(labels, "p", "left").join(border, "p", "left")
+        else:
+            raise RuntimeError("clusters did not settle")
+        final = Table(spark, labels, "labels")
+        labels.unpersist()
+        border = near.df.join(final.df.select(F.col("p").alias("q"), "label"), "q").groupBy("p").agg(F.min("label").alias("first"))
+        out = points.select("p").join(final.df, "p", "left").join(border, "p", "left")
         label = F.coalesce("label", "first")
         found = out.select(F.col("p").alias(self.key), label.alias("root"), F.col("label").isNotNull().alias("core"))
-        names = with_position(labels.select(F.col("label").alias("root")).distinct(), ["root"], "label").persist()
+        names = with_position(final.df.select(F.col("label").alias("root")).distinct(), ["root"], "label")
         self.n_clusters = names.count()
         return found.join(names, "root", "left").select(self.key, F.coalesce("label", F.lit(-1).cast("long")).alias("label"), "core")
 

@@ -1,7 +1,11 @@
-"""Full-batch training of small models: partitions add up their gradients on Arrow batches, the driver takes Adam steps."""
+"""Full-batch training of small models: partitions add up their gradients on Arrow batches, groups of partitions add up theirs,
+the driver takes Adam steps."""
 
 from __future__ import annotations
 
+import math
+from itertools import combinations_with_replacement
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +21,18 @@ def _numpy(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+SUMS = "value double, n long, grad binary"
+#: Beyond so many partitions their sums are added in the cluster first.
+FAN_IN = 32
+
+
+def _added(batches):
+    for batch in batches:
+        if batch.num_rows:
+            grad = sum(np.frombuffer(g.as_buffer()) for g in batch.column("grad"))
+            yield pa.RecordBatch.from_arrays([pa.array([sum(batch.column("value").to_pylist())]), pa.array([sum(batch.column("n").to_pylist())], pa.int64()), pa.array([grad.tobytes()], pa.binary())], names=["value", "n", "grad"])
+
+
 def gradient_sum(data: DataFrame, loss, theta: np.ndarray) -> tuple[float, np.ndarray, int]:
     """Sums of loss and gradient over all rows; ``loss(x, y, theta)`` works on a batch."""
 
@@ -28,7 +44,10 @@ def gradient_sum(data: DataFrame, loss, theta: np.ndarray) -> tuple[float, np.nd
                 value, grad, n = value + v, grad + g, n + batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([n], pa.int64()), pa.array([grad.tobytes()], pa.binary())], names=["value", "n", "grad"])
 
-    rows = data.mapInArrow(run, "value double, n long, grad binary").collect()
+    partial = data.mapInArrow(run, SUMS)
+    if (parts := data.rdd.getNumPartitions()) > FAN_IN:
+        partial = partial.repartition(-(-parts // FAN_IN)).mapInArrow(_added, SUMS)
+    rows = partial.collect()
     return sum(r.value for r in rows), sum((np.frombuffer(r.grad) for r in rows), np.zeros_like(theta)), sum(r.n for r in rows)
 
 
@@ -132,6 +151,29 @@ def fourier(d: int, n: int, gamma: float, seed: int):
     return lambda x: np.sqrt(2 / n) * np.cos(x @ w + b)
 
 
+def monomials(d: int, degree: int, gamma: float):
+    """Features whose inner products are the polynomial kernel (gamma x.z + 1) ** degree."""
+    terms = [t for n in range(1, degree + 1) for t in combinations_with_replacement(range(d), n)]
+    scale = []
+    for t in terms:
+        ways = math.factorial(degree) / math.factorial(degree - len(t))
+        for i in set(t):
+            ways /= math.factorial(t.count(i))
+        scale.append(math.sqrt(ways * gamma ** len(t)))
+    return lambda x: np.column_stack([np.prod(x[:, list(t)], axis=1) * s for t, s in zip(terms, scale, strict=True)]), len(terms)
+
+
+def kernel(name: str, d: int, gamma: float | None, degree: int, components: int, seed: int):
+    """A map to features that stand for a kernel (the constant left to the intercept), and their number."""
+    if name == "linear":
+        return (lambda x: x), d
+    if name == "poly":
+        return monomials(d, degree, gamma or 1 / d)
+    if name == "rbf":
+        return fourier(d, components, gamma or 1 / d, seed), components
+    raise ValueError(f"no kernel {name}")
+
+
 def predict_column(df: DataFrame, features: list[str], f, out: str, kind: str) -> DataFrame:
     """``df`` with one more column, computed batch by batch from its features; rows with a missing feature get null."""
     from pyspark.sql import types as T

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.learning import gradient, metrics
 from millrace.operators.linalg import gram
+from millrace.storage import Table
 
 from .neighbours import nearest
 
@@ -31,11 +32,15 @@ class _Model:
 
 
 class _Wrapped(_Model):
-    """An MLlib estimator behind the common interface."""
+    """An MLlib estimator behind the common interface; parameters that ``defaults`` doesn't name are refused."""
+
+    defaults: dict = {}
 
     def __init__(self, features, label="target", **params):
         super().__init__(features, label)
-        self.params = params
+        if unknown := sorted(set(params) - set(self.defaults)):
+            raise TypeError(f"{type(self).__name__} has no parameter {', '.join(unknown)}")
+        self.params = self.defaults | params
 
     def estimator(self):
         raise NotImplementedError
@@ -54,58 +59,79 @@ class _Wrapped(_Model):
         return out.withColumn("prediction", value).select(*df.columns, "prediction")
 
 
-class DecisionTreeClassifier(_Wrapped):
+class _Tree(_Wrapped):
+    """``min_samples_split`` rows are needed in a node that is split: MLlib asks that of the two children, half each.
+
+    ``max_bins`` bounds the thresholds that are tried for a feature. ``n_jobs`` is accepted for its name: Spark runs the
+    trees of a forest side by side on the cores it has.
+    """
+
+    defaults = {"max_depth": 5, "min_samples_split": 2, "max_bins": 32, "seed": 42, "n_jobs": 1}
+
+    def _shape(self) -> dict:
+        p = self.params
+        return {"maxDepth": p["max_depth"], "minInstancesPerNode": max(1, -(-p["min_samples_split"] // 2)), "maxBins": p["max_bins"], "seed": p["seed"]}
+
+
+class DecisionTreeClassifier(_Tree):
     def estimator(self):
-        return mc.DecisionTreeClassifier(maxDepth=self.params.get("max_depth", 5), seed=self.params.get("seed", 42))
+        return mc.DecisionTreeClassifier(**self._shape())
 
 
-class RandomForestClassifier(_Wrapped):
+class RandomForestClassifier(_Tree):
+    defaults = _Tree.defaults | {"n_estimators": 20}
+
     def estimator(self):
-        return mc.RandomForestClassifier(numTrees=self.params.get("n_estimators", 20), maxDepth=self.params.get("max_depth", 5), seed=self.params.get("seed", 42))
+        return mc.RandomForestClassifier(numTrees=self.params["n_estimators"], **self._shape())
 
 
 class LogisticRegression(_Wrapped):
+    defaults = {"max_iter": 100, "penalty": 0.0}
+
     def estimator(self):
-        return mc.LogisticRegression(family="multinomial", maxIter=self.params.get("max_iter", 100), regParam=self.params.get("penalty", 0.0))
+        return mc.LogisticRegression(family="multinomial", maxIter=self.params["max_iter"], regParam=self.params["penalty"])
 
 
-class GradientBoostingClassifier(_Wrapped):
+class GradientBoostingClassifier(_Tree):
     """Boosted trees, one against the rest."""
 
+    defaults = _Tree.defaults | {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 3}
+
     def estimator(self):
-        p = self.params
-        return mc.OneVsRest(classifier=mc.GBTClassifier(maxIter=p.get("n_estimators", 20), stepSize=p.get("learning_rate", 0.1), maxDepth=p.get("max_depth", 3), seed=p.get("seed", 42)))
+        return mc.OneVsRest(classifier=mc.GBTClassifier(maxIter=self.params["n_estimators"], stepSize=self.params["learning_rate"], **self._shape()))
 
 
-class DecisionTreeRegressor(_Wrapped):
+class DecisionTreeRegressor(_Tree):
     kind = "regressor"
 
     def estimator(self):
-        return mr.DecisionTreeRegressor(maxDepth=self.params.get("max_depth", 5), seed=self.params.get("seed", 42))
+        return mr.DecisionTreeRegressor(**self._shape())
 
 
-class RandomForestRegressor(_Wrapped):
+class RandomForestRegressor(_Tree):
     kind = "regressor"
+    defaults = _Tree.defaults | {"n_estimators": 20}
 
     def estimator(self):
-        return mr.RandomForestRegressor(numTrees=self.params.get("n_estimators", 20), maxDepth=self.params.get("max_depth", 5), seed=self.params.get("seed", 42))
+        return mr.RandomForestRegressor(numTrees=self.params["n_estimators"], **self._shape())
 
 
-class GradientBoostingRegressor(_Wrapped):
+class GradientBoostingRegressor(_Tree):
     kind = "regressor"
+    defaults = _Tree.defaults | {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 3}
 
     def estimator(self):
-        p = self.params
-        return mr.GBTRegressor(maxIter=p.get("n_estimators", 20), stepSize=p.get("learning_rate", 0.1), maxDepth=p.get("max_depth", 3), seed=p.get("seed", 42))
+        return mr.GBTRegressor(maxIter=self.params["n_estimators"], stepSize=self.params["learning_rate"], **self._shape())
 
 
 class Lasso(_Wrapped):
     """Least squares / (2 n) plus alpha times the absolute weights."""
 
     kind = "regressor"
+    defaults = {"alpha": 1.0, "max_iter": 1000}
 
     def estimator(self):
-        return mr.LinearRegression(regParam=self.params.get("alpha", 1.0), elasticNetParam=1.0, standardization=False, maxIter=self.params.get("max_iter", 1000))
+        return mr.LinearRegression(regParam=self.params["alpha"], elasticNetParam=1.0, standardization=False, maxIter=self.params["max_iter"], tol=1e-9)
 
 
 class _Linear(_Model):
@@ -186,7 +212,7 @@ class KNeighborsRegressor(_Neighbours):
 
 
 class AdaBoostClassifier(_Model):
-    """Stumps by the SAMME rule; weights follow from the fitted stumps, so no state is carried between rounds."""
+    """Stumps by the SAMME rule. The weights of a round are kept until those of the next are."""
 
     def __init__(self, features, label="target", n_estimators: int = 20, max_depth: int = 1):
         super().__init__(features, label)
@@ -197,7 +223,6 @@ class AdaBoostClassifier(_Model):
         assembler = VectorAssembler(inputCols=self.features, outputCol="__features")
         data = assembler.transform(df.withColumn("__label", F.col(self.label).cast("double"))).select("__features", "__label", F.lit(1.0).alias("__w")).persist()
         k = data.agg(F.max("__label")).first()[0] + 1
-        first = data
         for t in range(self.n):
             stump = mc.DecisionTreeClassifier(maxDepth=self.max_depth, featuresCol="__features", labelCol="__label", weightCol="__w", predictionCol="__p", probabilityCol="__q", rawPredictionCol="__r").fit(data)
             judged = stump.transform(data).withColumn("__wrong", (F.col("__p") != F.col("__label")).cast("double"))
@@ -209,11 +234,17 @@ class AdaBoostClassifier(_Model):
             self.alphas.append(alpha)
             if e <= 1e-10:
                 break
-            data = judged.select("__features", "__label", (F.col("__w") * F.exp(alpha * F.col("__wrong"))).alias("__w"))
-            if t % 5 == 4:
-                data = data.persist()
+            weighed = judged.select("__features", "__label", (F.col("__w") * F.exp(alpha * F.col("__wrong"))).alias("__w"))
+            if t % 10 == 9:
+                # The plan of a round holds those of all before: a written table cuts it.
+                after = Table(df.sparkSession, weighed, "boosting").df.persist()
+            else:
+                after = weighed.persist()
+            after.count()
+            data.unpersist()
+            data = after
         self.n_classes = int(k)
-        first.unpersist()
+        data.unpersist()
         return self
 
     def predict(self, df):
@@ -242,18 +273,16 @@ class _Trained(_Model):
 
 
 class SVC(_Trained):
-    """Squared-hinge machines, one against the rest: linear, or with an RBF kernel by random features."""
+    """Squared-hinge machines, one against the rest: linear, polynomial (exact), or RBF by random features."""
 
-    def __init__(self, features, label="target", kernel: str = "rbf", gamma: float | None = None, components: int = 100, penalty: float = 1e-3, steps: int = 60, seed: int = 42):
+    def __init__(self, features, label="target", kernel: str = "rbf", gamma: float | None = None, degree: int = 3, components: int = 100, penalty: float = 1e-3, steps: int = 60, seed: int = 42):
         super().__init__(features, label)
-        self.kernel, self.gamma, self.components, self.penalty, self.steps, self.seed = kernel, gamma, components, penalty, steps, seed
+        self.kernel, self.gamma, self.degree, self.components, self.penalty, self.steps, self.seed = kernel, gamma, degree, components, penalty, steps, seed
 
     def fit(self, df):
         ready, names = self._scaled(df)
         k = int(df.agg(F.max(self.label)).first()[0]) + 1
-        d = len(names)
-        lift = gradient.fourier(d, self.components, self.gamma or 1 / d, self.seed) if self.kernel == "rbf" else lambda x: x
-        width = self.components if self.kernel == "rbf" else d
+        lift, width = gradient.kernel(self.kernel, len(names), self.gamma, self.degree, self.components, self.seed)
         inner = gradient.hinge_loss(k)
         data = gradient.matrix(ready, names, [self.label])
         theta = gradient.minimise(data, lambda x, y, t: inner(lift(x), y, t), np.zeros((width + 1) * k), self.steps, 0.1, self.penalty)
@@ -267,23 +296,22 @@ class SVC(_Trained):
 
 
 class SVR(_Trained):
-    """Epsilon-insensitive regression, linear or RBF by random features."""
+    """Epsilon-insensitive regression: linear, polynomial (exact), or RBF by random features."""
 
     kind = "regressor"
 
-    def __init__(self, features, label="target", kernel: str = "linear", epsilon: float = 0.1, gamma: float | None = None, components: int = 100, penalty: float = 1e-4, steps: int = 80, seed: int = 42):
+    def __init__(self, features, label="target", kernel: str = "linear", epsilon: float = 0.1, gamma: float | None = None, degree: int = 3, components: int = 100, penalty: float = 1e-4, steps: int = 80, seed: int = 42):
         super().__init__(features, label)
-        self.kernel, self.epsilon, self.gamma, self.components, self.penalty, self.steps, self.seed = kernel, epsilon, gamma, components, penalty, steps, seed
+        self.kernel, self.epsilon, self.gamma, self.degree, self.components, self.penalty, self.steps, self.seed = kernel, epsilon, gamma, degree, components, penalty, steps, seed
 
     def fit(self, df):
         ready, names = self._scaled(df)
         y = df.agg(F.avg(self.label), F.stddev_pop(self.label)).first()
         self.shift, self.unit = float(y[0]), float(y[1] or 1.0)
-        d = len(names)
-        lift = gradient.fourier(d, self.components, self.gamma or 1 / d, self.seed) if self.kernel == "rbf" else lambda x: x
+        lift, width = gradient.kernel(self.kernel, len(names), self.gamma, self.degree, self.components, self.seed)
         inner = gradient.svr_loss(self.epsilon / self.unit)
         data = gradient.matrix(ready.withColumn("__y", (F.col(self.label) - self.shift) / self.unit), names, ["__y"])
-        self.theta = gradient.minimise(data, lambda x, y, t: inner(lift(x), y, t), np.zeros((self.components if self.kernel == "rbf" else d) + 1), self.steps, 0.05, self.penalty)
+        self.theta = gradient.minimise(data, lambda x, y, t: inner(lift(x), y, t), np.zeros(width + 1), self.steps, 0.05, self.penalty)
         data.unpersist()
         self.lift = lift
         return self

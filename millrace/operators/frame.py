@@ -41,6 +41,11 @@ def with_position(df: DataFrame, order_by: list[str], name: str = "_pos", bucket
     return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__start") + F.col("__inside")).alias(name))
 
 
+def columns(df: DataFrame) -> DataFrame:
+    """The column names with their places."""
+    return df.sparkSession.createDataFrame(list(enumerate(df.columns)), "place long, name string")
+
+
 def shape(df: DataFrame) -> tuple[int, int]:
     return df.count(), len(df.columns)
 

@@ -6,9 +6,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MAX_DENSE = 4096
+FEW_COLUMNS = 12
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -31,19 +33,50 @@ def norms(a: DataFrame) -> DataFrame:
 
 
 def gram(df: DataFrame, columns: list[str], target: str | None = None, center: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
-    """X'X (of columns and target), their means and the number of rows, in one aggregate."""
+    """X'X (of columns and target), their means and the number of rows, in one pass; rows with a null are left out.
+
+    Few columns are summed pair by pair in one aggregate. With more, every task multiplies its Arrow batches and adds
+    them up; beyond 32 tasks their sums are added in the cluster.
+    """
     names = [*columns, *([target] if target else [])]
-    pairs = [(a, b) for a in range(len(names)) for b in range(a, len(names))]
-    x = [F.col(c).cast("double") for c in names]
-    row = df.where(sum((F.col(c).isNull().cast("int") for c in names), F.lit(0)) == 0).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x[a]).alias(f"m{a}") for a in range(len(names))], *[F.sum(x[a] * x[b]).alias(f"g{a}_{b}") for a, b in pairs]).first()
-    n = row["n"]
-    g = np.zeros((len(names), len(names)))
-    for a, b in pairs:
-        g[a, b] = g[b, a] = row[f"g{a}_{b}"] or 0.0
-    means = np.array([(row[f"m{a}"] or 0.0) / max(n, 1) for a in range(len(names))])
+    d = len(names)
+    total = _pair_sums(df, names) if d <= FEW_COLUMNS else _batch_sums(df, names)
+    g, n = total[: d * d].reshape(d, d), int(total[-1])
+    means = total[d * d : -1] / max(n, 1)
     return (g - n * np.outer(means, means) if center else g), means, n
 
 
+def _pair_sums(df: DataFrame, names: list[str]) -> np.ndarray:
+    x, d = [F.col(c).cast("double") for c in names], len(names)
+    cells = [F.sum(x[min(a, b)] * x[max(a, b)]).alias(f"g{a}_{b}") for a in range(d) for b in range(d)]
+    whole = sum((F.col(c).isNull().cast("int") for c in names), F.lit(0)) == 0
+    return np.array([float(v or 0) for v in df.where(whole).agg(*cells, *[F.sum(c) for c in x], F.count(F.lit(1))).first()])
+
+
+def _batch_sums(df: DataFrame, names: list[str]) -> np.ndarray:
+    d = len(names)
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
+
+    def run(batches):
+        g, m, n = np.zeros((d, d)), np.zeros(d), 0
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d) if batch.num_rows else np.zeros((0, d))
+            gaps = batch.column("x").flatten().is_null().to_numpy(zero_copy_only=False).reshape(-1, d).any(axis=1)
+            x = x[~gaps]
+            g, m, n = g + x.T @ x, m + x.sum(axis=0), n + len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([g.reshape(-1), m, [n]]).tobytes()], pa.binary())], names=["sums"])
+
+    def added(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([sum(np.frombuffer(v.as_buffer()) for v in batch.column("sums")).tobytes()], pa.binary())], names=["sums"])
+
+    partial = rows.mapInArrow(run, "sums binary")
+    if (parts := rows.rdd.getNumPartitions()) > 32:
+        partial = partial.repartition(-(-parts // 32)).mapInArrow(added, "sums binary")
+    return sum((np.frombuffer(r.sums) for r in partial.collect()), np.zeros(d * d + d + 1))
+
+
 def dense(a: DataFrame) -> np.ndarray:
     """A small coordinate matrix on the driver; at most 4096 x 4096."""
     m, n = a.agg(F.max("i") + 1, F.max("j") + 1).first()
@@ -94,7 +127,7 @@ def cholesky(a: DataFrame) -> DataFrame:
 @dataclass
 class Eigen:
     values: DataFrame  # k, re, im
-    vectors: DataFrame
+    vectors: DataFrame  # i, j (the value's k), re, im
 
 
 def eig(a: DataFrame) -> Eigen:
@@ -102,7 +135,9 @@ def eig(a: DataFrame) -> Eigen:
     order = np.lexsort((w.imag, -w.real))
     spark = a.sparkSession
     values = spark.createDataFrame([(k, float(w[o].real), float(w[o].imag)) for k, o in enumerate(order)], "k long, re double, im double")
-    return Eigen(values, coordinates(spark, np.real(v[:, order])))
+    v = v[:, order]
+    cells = [(i, j, float(v[i, j].real), float(v[i, j].imag)) for i in range(len(v)) for j in range(len(v))]
+    return Eigen(values, spark.createDataFrame(cells, "i long, j long, re double, im double"))
 
 
 def pinv(a: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import arrays, elementwise as ew
 from millrace.operators import frame, linalg, plotting, preprocess as pp
+from millrace.sources import tabular
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -220,14 +221,8 @@ def reductions(spark, d):
     return rounded(arrays.reduce_all(table(spark, d, "events"), "value", "event_id", ["sum", "mean", "std", "var", "min", "max", "argmin", "argmax"]), 3)
 
 
-@query("select round(product(1 + s_nationkey / 100e0), 4) as prod from supplier where s_suppkey <= 50")
-def reduction_prod(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey <= 50").select((1 + F.col("s_nationkey") / F.lit(100.0)).alias("v"), F.col("s_suppkey").alias("p"))
-    return rounded(arrays.reduce_all(s, "v", "p", ["prod"]))
-
-
 @query("select round(product(1 + (s_nationkey - 12) / 1e4), 6) as prod from supplier")
-def reduction_prod_all(spark, d):
+def reduction_prod(spark, d):
     # Factors close to 1 on either side keep the product of any number of suppliers in range.
     s = table(spark, d, "supplier").select((1 + (F.col("s_nationkey") - 12) / F.lit(1e4)).alias("v"), F.col("s_suppkey").alias("p"))
     return rounded(arrays.reduce_all(s, "v", "p", ["prod"]), 6)
@@ -493,6 +488,49 @@ def plot_heat_grid(spark, d):
     return rounded(plotting.heat_grid(table(spark, d, "part"), "p_size", "p_retailprice", 10.0, 200.0, "p_retailprice"))
 
 
-@query()
+@query("select p_partkey, p_size, p_retailprice from part order by md5(p_partkey::varchar), p_partkey limit 500")
 def plot_scatter(spark, d):
     return plotting.scatter_points(table(spark, d, "part"), "p_size", "p_retailprice", "p_partkey", 500)
+
+
+@query("select i as row, j as column, greatest(0, least(255, round(255 * (v - lo) / (hi - lo))))::bigint as shade from (select *, min(v) over () as lo, max(v) over () as hi from " + _PART + ")")
+def plot_image(spark, d):
+    return plotting.image_matrix(_part_matrix(spark, d)).withColumn("shade", F.col("shade").cast("long"))
+
+
+_STATUS = "(select o_orderstatus as y, case when o_totalprice > 200000 then 'F' else 'O' end as p from orders)"
+
+
+@query(
+    f"with j as {_STATUS}, c as (select y as k from j union select p from j), n as (select a.k as gy, b.k as gx, (select count(*) from j where y = a.k and p = b.k) as n from c a, c b) "
+    "select gx, gy, n, round(coalesce(n / nullif(sum(n) over (partition by gy), 0), 0), 6) as share from n"
+)
+def plot_confusion(spark, d):
+    said = table(spark, d, "orders").select(F.col("o_orderstatus").alias("y"), F.when(F.col("o_totalprice") > 200000, "F").otherwise("O").alias("p"))
+    return rounded(plotting.confusion_heat(said, "y", "p"), 6)
+
+
+# --- names, rows and cells of tables ----------------------------------------------------------------------------------
+
+
+@query("select (row_number() over () - 1)::bigint as place, column_name as name from (describe orders)")
+def column_names(spark, d):
+    return frame.columns(table(spark, d, "orders"))
+
+
+@query("select p_partkey as row_id, 0::bigint as j, p_size::double as v from part union all select p_partkey, 1, p_retailprice from part")
+def to_rows(spark, d):
+    rows = tabular.to_rows(table(spark, d, "part"), ["p_size", "p_retailprice"], "p_partkey")
+    return rows.select("row_id", F.posexplode("features").alias("j", "v")).withColumn("j", F.col("j").cast("long"))
+
+
+@query("select p_partkey, round(0.299e0 * (p_size % 256) + 0.587e0 * (p_partkey % 256) + 0.114e0 * (p_partkey % 7), 6) as luma from part")
+def grayscale(spark, d):
+    pixels = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 256).alias("r"), (F.col("p_partkey") % 256).alias("g"), (F.col("p_partkey") % 7).alias("b"))
+    return pixels.select("p_partkey", F.round(tabular.grayscale("r", "g", "b"), 6).alias("luma"))
+
+
+@query("select (i - 1)::bigint as place, line from (select unnest(range(1, 6)) as i, unnest(['+-----------+------+', '|r_regionkey|r_name|', '+-----------+------+', '+-----------+------+', '']) as line)")
+def print_table(spark, d):
+    shown = frame.render(table(spark, d, "region").where("r_regionkey < 0"))
+    return spark.createDataFrame(list(enumerate(shown.split("\n"))), "place long, line string")

@@ -3,24 +3,21 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 
 from pyspark.sql import functions as F
 
 from millrace.learning import cluster, metrics, models, neighbours, selection
 from millrace.operators import preprocess as pp
-from millrace.plans.catalogue import _CENTRED, planted, query, rounded, table
+from millrace.plans.catalogue import _CENTRED, PLANTED, planted, query, rounded, table
 from millrace.sources import tabular
+from millrace.storage import scratch
 
 # --- sources ----------------------------------------------------------------------------------------------------------
 
 
 def _folder(spark) -> str:
-    """A new folder for a round trip: shared on a cluster, temporary on a local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    name = next(tempfile._get_candidate_names())
-    return f"{base.rstrip('/')}/trip-{name}" if base else "file://" + os.path.join(tempfile.mkdtemp(prefix="millrace-"), name)
+    """A new folder for a round trip, shared by driver and executors; it goes with the driver."""
+    return f"{scratch(spark, 'trip')}/files"
 
 
 _NATION = "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation"
@@ -82,9 +79,38 @@ def make_regression(spark, d):
     return rounded(tabular.make_regression(spark, 100, 5, 0.1, 42), 6)
 
 
-@query()
+# Means of the measures by class, and their spread.
+_MEANS, _SPREAD = [[5.0, 5.9, 6.6], [3.4, 2.8, 3.0], [1.5, 4.3, 5.5], [0.2, 1.3, 2.0]], [0.35, 0.3, 0.3, 0.2]
+_MEASURED = ["sepal_length", "sepal_width", "petal_length", "petal_width"]
+_FLOWERS = (
+    "select id, " + ", ".join(f"round({_MEANS[j]}[(id % 3) + 1]::double + {_SPREAD[j]}::double * {_normal(f"""42, id::varchar, '{j}' """)}, 6) as {n}" for j, n in enumerate(_MEASURED)) + ", (id % 3)::bigint as target from range(150) t(id)"
+)
+
+
+def _flowers(spark):
+    return rounded(tabular.flower_like(spark), 6).withColumn("target", F.col("target").cast("long"))
+
+
+@query(_FLOWERS)
 def flower_like(spark, d):
-    return tabular.flower_like(spark)
+    return _flowers(spark)
+
+
+@query(f"select * exclude (target) from ({_FLOWERS})")
+def bunch_data(spark, d):
+    return tabular.data_of(_flowers(spark))
+
+
+@query(f"select target from ({_FLOWERS})")
+def bunch_target(spark, d):
+    return tabular.target_of(_flowers(spark))
+
+
+@query(_NATION)
+def load_dataset(spark, d):
+    folder = _folder(spark)
+    tabular.to_csv(table(spark, d, "nation"), f"{folder}/tips.csv")
+    return _longs(tabular.load_dataset(spark, "tips", folder))
 
 
 # --- splits and metrics -----------------------------------------------------------------------------------------------
@@ -160,9 +186,29 @@ def _fitted(model, data):
     return data.sparkSession.createDataFrame([(name, float(model.fit(data).score(data)))], "model string, score double")
 
 
-@query()
+# Both weights differ from 0, so the least point solves two linear equations with the signs put in.
+@query(
+    f"with t as (select l_quantity as x, l_discount as z, {PLANTED} as y from lineitem), c as (select var_pop(x) as a, covar_pop(x, z) as b, var_pop(z) as c, covar_pop(x, y) - 0.01 as p, covar_pop(z, y) + 0.01 as q, var_pop(y) as v from t), "
+    "w as (select *, (p * c - q * b) / (a * c - b * b) as w0, (q * a - p * b) / (a * c - b * b) as w1 from c) "
+    "select 'Lasso' as model, round(1 - (v - 2 * (w0 * (p + 0.01) + w1 * (q - 0.01)) + w0 * w0 * a + 2 * w0 * w1 * b + w1 * w1 * c) / v, 6) as score from w where w0 > 0 and w1 < 0"
+)
 def lasso(spark, d):
-    return _fitted(models.Lasso(_X, alpha=0.01), planted(spark, d))
+    return rounded(_fitted(models.Lasso(_X, alpha=0.01), planted(spark, d)), 6)
+
+
+def _stump_sql(feature: str, i: int) -> str:
+    return f"select {i} as f, v, sum(sy) over w as sl, sum(n) over w as nl from (select {feature} as v, sum(y) as sy, count(*) as n from t group by 1) window w as (order by v)"
+
+
+@query(
+    f"with t as (select l_quantity as x, l_discount as z, {PLANTED} as y from lineitem), s as (select sum(y) as sy, count(*) as n from t), c as ({_stump_sql('x', 0)} union all {_stump_sql('z', 1)}), "
+    "best as (select f, v from c, s where nl < n order by sl * sl / nl + (sy - sl) * (sy - sl) / (n - nl) desc limit 1) "
+    "select round(avg(y), 4) as prediction, count(*) as n from t, best group by case when f = 0 then x <= v else z <= v end"
+)
+def decision_tree_stump(spark, d):
+    data = planted(spark, d)
+    out = models.DecisionTreeRegressor(_X, max_depth=1, max_bins=64).fit(data).predict(data)
+    return out.groupBy(F.round("prediction", 4).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -342,10 +388,15 @@ def pca(spark, d):
 # --- tuning -----------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    f"with t as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as key, l_quantity as x, l_discount as z, {PLANTED} as y from lineitem), f as (select x, z, y, (row_number() over (order by md5(key || ':42'), key) - 1) % 3 as fold from t), "
+    "g as (select v.fold, covar_pop(x, x) as xx, covar_pop(x, z) as xz, covar_pop(z, z) as zz, covar_pop(x, y) as xy, covar_pop(z, y) as zy, avg(x) as mx, avg(z) as mz, avg(y) as my from (select distinct fold from f) v join f on f.fold <> v.fold group by 1), "
+    "w as (select fold, mx, mz, my, (xy * zz - zy * xz) / (xx * zz - xz * xz) as w0, (zy * xx - xy * xz) / (xx * zz - xz * xz) as w1 from g) "
+    "select fold::bigint as fold, round(1 - sum((y - my - w0 * (x - mx) - w1 * (z - mz)) ** 2) / regr_syy(y, y), 6) as score from f join w using (fold) group by 1"
+)
 def cross_val_score(spark, d):
     scores = selection.cross_val_score(lambda: models.LinearRegression(_X), planted(spark, d).withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), "key", 3)
-    return spark.createDataFrame(list(enumerate(scores)), "fold long, score double")
+    return rounded(spark.createDataFrame(list(enumerate(scores)), "fold long, score double"), 6)
 
 
 @query()

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 SEARCH_PATH = [".", "data", "datasets"]
+# Names of the data sets that may be loaded by name.
+DATASETS = ["breast_cancer", "california_housing", "diabetes", "diamonds", "digits", "flights", "iris", "penguins", "tips", "titanic", "wine"]
+#: Paths of data sets that lie elsewhere than in the folder given.
 REGISTRY: dict[str, str] = {}
 
 
@@ -24,16 +28,16 @@ def read_csv(spark: SparkSession, path: str, *, sep: str = ",", skiprows: int =
     """CSV with values trimmed and NaN read as null.
 
     ``skiprows`` drops physical lines first; ``header`` is the line of the header among the rest, None for no header
-    line. ``names`` replaces column names, ``index_col`` renames that column to ``_index``. Skipping costs one pass that
-    numbers the lines; without it the file is read in parallel as it is.
+    line. ``names`` replaces column names, ``index_col`` renames that column to ``_index``. Lines are skipped in every
+    file, at the start of its first split; quoted values then may not hold line breaks.
     """
     path = resolve(path)
     reader = spark.read.option("sep", sep).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("nanValue", "NaN").option("header", header is not None)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     skip = skiprows + (header or 0)
     if skip:
-        lines = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().filter(lambda x: x[1] >= skip).map(lambda x: x[0])
-        df = reader.csv(lines)
+        numbered = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        df = _csv_of_lines(reader, numbered.mapInArrow(_behind(skip), "value string"))
     else:
         df = reader.csv(path)
     if names:
@@ -43,6 +47,27 @@ def read_csv(spark: SparkSession, path: str, *, sep: str = ",", skiprows: int =
     return nan_to_null(df)
 
 
+def _behind(skip: int):
+    """The lines of each file but the first ``skip``: lines of a split come in order."""
+
+    def run(batches):
+        seen: dict[str, int] = {}
+        for batch in batches:
+            keep = []
+            for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                seen[file] = seen.get(file, 0) + (start == 0)
+                keep.append(start > 0 or seen[file] > skip)
+            yield pa.RecordBatch.from_arrays([batch.column("value")], names=["value"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _csv_of_lines(reader, lines: DataFrame) -> DataFrame:
+    """CSV out of a table of lines, without Python."""
+    encoder = lines.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING()
+    return DataFrame(reader._jreader.csv(getattr(lines._jdf, "as")(encoder)), lines.sparkSession)
+
+
 def read_json(spark: SparkSession, path: str, *, multiline: bool = False, schema=None) -> DataFrame:
     """JSON lines, or with ``multiline`` a JSON array per file."""
     reader = spark.read.option("multiLine", multiline)
@@ -79,9 +104,14 @@ def from_rows(spark: SparkSession, rows: list, columns: list[str], index: list[s
     return spark.createDataFrame(made, T.StructType(fields))
 
 
-def load_dataset(spark: SparkSession, name: str) -> DataFrame:
-    """A named data set of ``REGISTRY`` (name to path), by file type."""
-    path = REGISTRY[name]
+def load_dataset(spark: SparkSession, name: str, folder: str | None = None) -> DataFrame:
+    """A named data set: its path in ``REGISTRY``, else ``<name>.csv`` in ``folder`` or on the local search path.
+
+    The files themselves are not part of this library.
+    """
+    if name not in REGISTRY and name not in DATASETS:
+        raise KeyError(f"no data set {name}; there are {', '.join([*DATASETS, *REGISTRY])}")
+    path = REGISTRY.get(name) or (f"{folder.rstrip('/')}/{name}.csv" if folder else f"{name}.csv")
     return spark.read.parquet(path) if path.endswith(".parquet") else read_csv(spark, path)
 
 

@@ -33,6 +33,15 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new, empty shared folder, deleted at the end of the driver."""
+    path = fresh_path(spark, tag)
+    target, files = _files(spark, path)
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
+
+
 class Table:
     """A written DataFrame: ``df`` reads it back, ``drop()`` deletes it, as does the end of the driver."""
 
