@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import session
 from millrace.functions import arrays
-from millrace.learning import cluster, metrics, models, selection
+from millrace.learning import cluster, gradient, metrics, models, selection
 from millrace.operators import linalg, preprocess as pp
 from millrace.plans import learning
 from millrace.sources import tabular
@@ -144,3 +145,53 @@ def test_queries_have_the_sizes_of_the_reference(monkeypatch):
     assert [m.n if hasattr(m, "n") else m.params["n_estimators"] for m in fitted] == [20] * 5
     learning.grid_search(Session(), "")
     assert searched == [({"n_estimators": [5, 10], "max_depth": [3, 5]}, 3)]
+
+
+def test_parameters_are_honoured_or_refused(spark, flowers):
+    train, _ = flowers
+    whole = models.DecisionTreeClassifier(FOUR, min_samples_split=400).fit(train).model
+    assert whole.depth == 0 and models.DecisionTreeClassifier(FOUR, min_samples_split=2).fit(train).model.depth > 0
+    assert models.RandomForestClassifier(FOUR, n_estimators=3, n_jobs=-1).params["n_estimators"] == 3
+    with pytest.raises(TypeError, match="max_dept"):
+        models.RandomForestClassifier(FOUR, max_dept=3)
+
+
+def test_polynomial_kernel(spark, flowers):
+    lift, n = gradient.kernel("poly", 3, 0.5, 3, 0, 0)
+    x, z = np.random.default_rng(0).normal(size=(2, 5, 3))
+    assert np.allclose(lift(x) @ lift(z).T + 1, (0.5 * x @ z.T + 1) ** 3) and lift(x).shape[1] == n
+    ring = [(i, float(np.cos(i) * r), float(np.sin(i) * r), int(r > 1)) for i in range(60) for r in (0.5, 2.0)]
+    df = spark.createDataFrame(ring, "id long, a double, b double, target int")
+    assert models.SVC(["a", "b"], kernel="poly", degree=2).fit(df).score(df) > 0.95 > models.SVC(["a", "b"], kernel="linear").fit(df).score(df)
+    with pytest.raises(ValueError):
+        models.SVC(["a", "b"], kernel="cubic").fit(df)
+
+
+def test_complex_eigenvectors(spark):
+    a = np.array([[0.0, -2.0], [1.0, 0.5]])
+    e = linalg.eig(arrays.array(spark, a.tolist()))
+    w = np.array([complex(r.re, r.im) for r in e.values.orderBy("k").collect()])
+    v = np.zeros((2, 2), complex)
+    for r in e.vectors.collect():
+        v[r.i, r.j] = complex(r.re, r.im)
+    assert np.allclose(a @ v, v * w) and abs(w[0].imag) > 1
+
+
+def test_sums_of_many_partitions_and_columns(spark):
+    x = np.random.default_rng(3).normal(size=(500, 20))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"c{j} double" for j in range(20))).repartition(70)
+    g, m, n = linalg.gram(df, df.columns)
+    assert np.allclose(g, x.T @ x) and np.allclose(m, x.mean(axis=0)) and n == 500
+    few, _, _ = linalg.gram(df, df.columns[:3])
+    assert np.allclose(few, (x.T @ x)[:3, :3])
+    value, grad, rows = gradient.gradient_sum(gradient.matrix(df, df.columns[:2], ["c2"]), lambda x, y, t: (float(y.sum()), x.sum(axis=0)), np.zeros(2))
+    assert np.allclose([value, *grad], [x[:, 2].sum(), *x[:, :2].sum(axis=0)]) and rows == 500
+
+
+def test_settings():
+    s = session.Settings(share=0.5, threads=None)
+    assert s.resolve(3) == 3 and s.resolve(-1) >= 1 and s.resolve() >= 1
+    s.threads = 7
+    assert s.as_dict()["resolved"] == 7
+    s.reset()
+    assert s.threads is None and s.share == 0.6

@@ -1,7 +1,9 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import frame, preprocess as pp
+from millrace.operators import frame, preprocess as pp, quantiles
 from millrace.sources import tabular
 
 
@@ -26,6 +28,53 @@ def test_messy_csv(spark, tmp_path):
     assert frame.loc(df, "USR3").first().asDict() == {"_index": "USR3", "age": 22, "pay": 1500.2}
 
 
+def test_lines_are_skipped_in_every_file(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"part{n}.csv").write_text(f"junk {n}\nid,v\n{n},{n}.5\n{n + 10},1.5\n")
+    df = tabular.read_csv(spark, str(tmp_path), skiprows=1)
+    assert sorted(map(tuple, df.collect())) == [(n + k, v) for k, f in ((0, None), (10, 1.5)) for n in range(3) for v in [n + 0.5 if f is None else f]]
+    assert dict(df.dtypes) == {"id": "int", "v": "double"}
+
+
+def test_datasets_by_name(spark, tmp_path):
+    (tmp_path / "tips.csv").write_text("a,b\n1,x\n")
+    assert tabular.load_dataset(spark, "tips", str(tmp_path)).collect()[0] == (1, "x")
+    with pytest.raises(KeyError):
+        tabular.load_dataset(spark, "unknown")
+
+
+def test_paths_of_the_local_search_path(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "x.csv").write_text("a\n1\n")
+    assert tabular.resolve("x.csv") == "data/x.csv" and tabular.resolve("y.csv") == "y.csv" and tabular.resolve("s3://b/x.csv") == "s3://b/x.csv"
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 100, 30_000])
+def test_quantiles_are_exact(spark, n, monkeypatch):
+    rng = np.random.default_rng(n)
+    values = np.where(rng.random(n) < 0.3, rng.integers(0, 4, n), rng.normal(0, 50, n))
+    df = spark.createDataFrame(pd.DataFrame({"g": rng.integers(0, 3, n), "v": values, "t": rng.integers(0, 3, n).astype(float)})).repartition(5)
+    got = {r.g: r for r in quantiles.quantiles(df, {"v": F.col("v"), "t": F.col("t"), "none": F.lit(None)}, [0.0, 0.25, 0.5, 0.9, 1.0], ["g"]).collect()}
+    local = df.toPandas()
+    assert set(got) == set(local.g)
+    for g, part in local.groupby("g"):
+        for c in ("v", "t"):
+            assert np.allclose(got[g][c], np.quantile(part[c], [0.0, 0.25, 0.5, 0.9, 1.0]))
+        assert got[g]["none"] == [None] * 5
+    monkeypatch.setattr(quantiles, "ACCURACY", 20)  # wide brackets
+    assert np.allclose(quantiles.quantiles(df, {"v": F.col("v")}, [0.25, 0.5, 0.75]).first().v, np.quantile(local.v, [0.25, 0.5, 0.75]))
+
+
+def test_more_classes_than_the_plan_holds(spark):
+    df = spark.range(500).select("id", F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("c")).union(spark.createDataFrame([(1, None)], "id long, c string"))
+    e = pp.LabelEncoder("c", few=20)
+    coded = e.fit_transform(df)
+    assert sorted((r.id, r.label) for r in coded.collect() if r.c) == [(i, i) for i in range(500)]
+    assert [r.label for r in coded.collect() if r.c is None] == [None]
+    assert sorted((r.id, r["class"]) for r in e.inverse_transform(coded).where("c is not null").collect()) == [(i, f"c{i:03d}") for i in range(500)]
+
+
 def test_json_array(spark, tmp_path):
     path = tmp_path / "a.json"
     path.write_text('[{"a": 1, "b": "x"}, {"a": 2, "b": null}]')
