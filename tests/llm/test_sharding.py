@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from millrace.llm.sharding import grants, shard_documents
+from . import brute
 
 SCHEMA = "doc_id long, text string, row long, shard int, slot string"
 
@@ -32,6 +33,16 @@ def test_law_and_cut(spark):
     assert max(hot.values()) >= len(rows) // 8 * 0.8
 
 
+def test_query_against_brute_force(spark):
+    texts = [f"text {i}" for i in range(300)] + [f"group {i % 40}" for i in range(200)] + ["hot"] * 260 + [None, None, "", ""]
+    rows = [(i, t, 1, 1, "") for i, t in enumerate(texts)]
+    got = shard_documents(spark.createDataFrame(rows, SCHEMA).coalesce(1), 8).collect()
+    assert [(r.shard, r.slot) for r in sorted(got, key=lambda r: r.doc_id)] == brute.shards(texts, 8)
+    df = spark.createDataFrame([(i, t, n, 1, "") for n, (i, t, *_) in enumerate(rows)], SCHEMA).repartition(4)
+    dealt = shard_documents(df, 8, order_col="row").collect()
+    assert [(r.shard, r.slot) for r in sorted(dealt, key=lambda r: r.doc_id)] == brute.shards(texts, 8, dealt=True)
+
+
 def test_fewer_rows_than_shards_and_none(spark):
     rows = [(1, "a", 1, 1, ""), (2, "a", 1, 1, "")]
     check(rows, shard_documents(spark.createDataFrame(rows, SCHEMA), 8).collect(), 8)

@@ -70,3 +70,51 @@ def test_fit_separates():
     found, cuts = np.array([0, 1, 0, 2], np.int32), np.array([0, 2, 4])
     model = fit_logistic(found, cuts, np.array([1, 0]), np.ones(2), np.array([0.0, 2.0, -2.0]), penalty=1e-3)
     assert model.weights[1] > 0 > model.weights[2] and model.weights[0] == 0
+
+
+def plain_scores(docs, labels, penalty=0.002):
+    """The same model from sets of n-grams as strings, fitted by plain gradient steps with momentum."""
+
+    def bucket(gram):
+        h = 0
+        for n, c in enumerate(gram):
+            code = int.from_bytes(c.encode(), "little")
+            h = code if n == 0 else (h * 0x9E3779B97F4A7C15 + code) % 2**64
+        return ((h + len(gram)) * 0xD1B54A32D192ED03) % 2**64 >> 46
+
+    def grams(text):
+        text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        return sorted({bucket(text[i : i + n]) for n in (3, 4, 5) for i in range(len(text) - n + 1)})
+
+    sets = {i: grams(t) for i, t, *_ in docs}
+    marked = {i: y for i, _, y in labels if i in sets and zlib.crc32(str(i).encode()) % 4 != 2}
+    used = sorted({g for s in sets.values() for g in s})
+    at = {g: k for k, g in enumerate(used)}
+    x = np.zeros((len(sets), len(used)))
+    for row, i in enumerate(sets):
+        x[row, [at[g] for g in sets[i]]] = 1
+    train = np.array([row for row, i in enumerate(sets) if i in marked])
+    y = np.array([marked[i] for i in sets if i in marked], float)
+    ones, zeros = x[train][y == 1], x[train][y == 0]
+    ratio = np.log((ones.sum(axis=0) + 1) / (len(ones) + 2)) - np.log((zeros.sum(axis=0) + 1) / (len(zeros) + 2))
+    ratio[ones.sum(axis=0) + zeros.sum(axis=0) == 0] = 0
+    z = np.hstack([x[train] * ratio, np.ones((len(train), 1))])
+    decay = np.append(np.full(len(used), penalty), 0)
+    step = 1 / (0.25 * np.linalg.norm(z, 2) ** 2 / len(train) + penalty)
+    theta = ahead = np.zeros(len(used) + 1)
+    for t in range(6000):
+        pull = 1 / (1 + np.exp(-z @ ahead)) - y
+        after = ahead - step * (z.T @ pull / len(train) + decay * ahead)
+        ahead, theta = after + t / (t + 3) * (after - theta), after
+    margin = (x * ratio) @ theta[:-1] + theta[-1]
+    return dict(zip(sets, 1 / (1 + np.exp(-margin)), strict=True))
+
+
+def test_query_against_brute_force(spark):
+    docs, labels = made(160)
+    docs += [(900, "", 0, 0.0), (901, "Ünter zorquin é", 0, 0.0)]
+    want = plain_scores(docs, labels)
+    got = toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()
+    # Both fits stop near the one optimum.
+    assert len(got) == len(docs) and max(abs(r.score - want[r.doc_id]) for r in got) < 0.02
+    assert all(r.predicted == int(want[r.doc_id] >= 0.3) for r in got if abs(want[r.doc_id] - 0.3) > 0.02)
