@@ -1,6 +1,6 @@
 """Exact duplicates by a tree-merge of sorted digest runs.
 
-Every scan partition turns its texts into one sorted run of (digest, best row, count), already reduced to distinct
+Every scan partition turns its texts into sorted runs of (digest, best row, count), already reduced to distinct
 digests. Runs then meet in binomial rounds: in round r the runs whose numbers agree after dropping the lowest
 ``fan_in ** r`` digits are merged, multiway, until one run is left. Digest ranges ("lanes") keep each merge small:
 a lane holds a bounded share of the digests, whatever the input size, and a group of copies of any size is one
@@ -21,6 +21,7 @@ from .storage import Table, shuffle_width
 #: The characters that do not count: space, tab, newline, vertical tab, form feed, carriage return.
 WHITESPACE = " \t\n\x0b\f\r"
 LARGEST = np.iinfo(np.int64).max
+RUN_ROWS = 100_000
 
 
 def _reduce(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -79,15 +80,21 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     schema = rows.schema
 
     def first_run(batches):
-        number = TaskContext.get().partitionId()
-        whole = [b for b in batches if b.num_rows]
-        if whole:
-            yield from _merged(pa.Table.from_batches(whole), number).to_batches(max_chunksize=10_000)
+        # A partition of many rows gives several sorted runs of its number, each of bounded size.
+        number, part, rows = TaskContext.get().partitionId(), [], 0
+        for batch in batches:
+            part, rows = [*part, batch] if batch.num_rows else part, rows + batch.num_rows
+            if rows >= RUN_ROWS:
+                yield from _merged(pa.Table.from_batches(part), number).to_batches(max_chunksize=10_000)
+                part, rows = [], 0
+        if part:
+            yield from _merged(pa.Table.from_batches(part), number).to_batches(max_chunksize=10_000)
 
     def merge(key, table):
         return _merged(table, key[1].as_py())
 
-    runs, left = rows.mapInArrow(first_run, schema), max(1, rows.rdd.getNumPartitions())
+    # The first round also meets the runs of one partition, so there is one at least.
+    runs, left = rows.mapInArrow(first_run, schema), max(2, rows.rdd.getNumPartitions())
     while left > 1:
         runs = runs.groupBy("lane", F.floor(F.col("run") / fan_in).alias("next")).applyInArrow(merge, schema)
         left = math.ceil(left / fan_in)

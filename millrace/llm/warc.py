@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import Table, fresh_path, shuffle_width
+from .storage import Table, delete, scratch, shuffle_width
 
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -268,7 +268,9 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     an empty result.
     """
     spark = pages.sparkSession
-    folder = fresh_path(spark, "warc")
+    folder = scratch(spark, "warc")
     manifest = write_archives(pages, folder + "/whole")
     indexed = normalise_archives(manifest.df, folder + "/members")
+    delete(spark, folder + "/whole")
+    manifest.drop()
     return read_archives(indexed.df)
