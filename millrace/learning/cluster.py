@@ -33,10 +33,15 @@ def lloyd(df: DataFrame, features: list[str], centres: list, steps: int) -> list
 
 
 class KMeans:
-    def __init__(self, features: list[str], k: int, seed: int = 42, max_iter: int = 20):
-        self.features, self.k, self.seed, self.max_iter = features, k, seed, max_iter
+    """Centres are drawn (k-means||), or start from ``centres`` and take ``max_iter`` steps."""
+
+    def __init__(self, features: list[str], k: int, seed: int = 42, max_iter: int = 20, centres: list | None = None):
+        self.features, self.k, self.seed, self.max_iter, self.start = features, k, seed, max_iter, centres
 
     def fit(self, df):
+        if self.start is not None:
+            self.centres = lloyd(df, self.features, self.start, self.max_iter)
+            return self
         ready = VectorAssembler(inputCols=self.features, outputCol="__features").transform(df)
         self.centres = [list(map(float, c)) for c in MLKMeans(k=self.k, seed=self.seed, maxIter=self.max_iter, featuresCol="__features").fit(ready).clusterCenters()]
         return self

@@ -79,17 +79,17 @@ class DecisionTreeClassifier(_Tree):
 
 
 class RandomForestClassifier(_Tree):
-    defaults = _Tree.defaults | {"n_estimators": 20}
+    defaults = _Tree.defaults | {"n_estimators": 20, "bootstrap": True}
 
     def estimator(self):
-        return mc.RandomForestClassifier(numTrees=self.params["n_estimators"], **self._shape())
+        return mc.RandomForestClassifier(numTrees=self.params["n_estimators"], bootstrap=self.params["bootstrap"], **self._shape())
 
 
 class LogisticRegression(_Wrapped):
     defaults = {"max_iter": 100, "penalty": 0.0}
 
     def estimator(self):
-        return mc.LogisticRegression(family="multinomial", maxIter=self.params["max_iter"], regParam=self.params["penalty"])
+        return mc.LogisticRegression(family="multinomial", maxIter=self.params["max_iter"], regParam=self.params["penalty"], tol=1e-9)
 
 
 class GradientBoostingClassifier(_Tree):
@@ -110,10 +110,10 @@ class DecisionTreeRegressor(_Tree):
 
 class RandomForestRegressor(_Tree):
     kind = "regressor"
-    defaults = _Tree.defaults | {"n_estimators": 20}
+    defaults = _Tree.defaults | {"n_estimators": 20, "bootstrap": True}
 
     def estimator(self):
-        return mr.RandomForestRegressor(numTrees=self.params["n_estimators"], **self._shape())
+        return mr.RandomForestRegressor(numTrees=self.params["n_estimators"], bootstrap=self.params["bootstrap"], **self._shape())
 
 
 class GradientBoostingRegressor(_Tree):

@@ -1,6 +1,6 @@
 """Exact nearest neighbours of a query set among all rows.
 
-Queries go to the tasks in blocks of bounded size; every task of the searched side keeps the k best of its rows for each
+Queries go to the tasks in blocks of 8 MB, their best rows counted in; every task of the searched side keeps the k best of its rows for each
 query, so at most k rows per query and task are shuffled. More queries mean more blocks, one scan each.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-QUERY_BLOCK = 20_000
+QUERY_BYTES = 8 << 20
 
 
 def _array(features, alias: str):
@@ -50,8 +50,8 @@ def nearest(queries: DataFrame, rows: DataFrame, features, key: str, k: int, car
     spare = k + exclude_self
     side = rows.select(F.col(key).cast("long").alias("key"), _array(features, "x"), (F.col(carry).cast("double") if carry else F.lit(0.0)).alias("carried"))
     asked = queries.select(F.col(key).cast("long").alias("key"), _array(features, "x"))
-    n = asked.count()
-    blocks = -(-n // QUERY_BLOCK)
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    blocks = -(-n * 8 * ((width or 0) + 2 + 2 * spare) // QUERY_BYTES)
     parts = []
     for b in range(max(1, blocks)):
         block = asked if blocks <= 1 else asked.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)

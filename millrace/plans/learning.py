@@ -216,6 +216,32 @@ def decision_tree_regressor(spark, d):
     return _fitted(models.DecisionTreeRegressor(_X), planted(spark, d))
 
 
+def _boosted_sql(rounds: int, rate: float) -> str:
+    """Boosted stumps: each is fitted on twice the error left, and all but the first are scaled by the rate."""
+    parts = [f"t0 as (select l_quantity as x, l_discount as z, {PLANTED} as y, 0e0 as p from lineitem)"]
+    for k in range(rounds):
+        error, scale = ("y" if k == 0 else "2 * (y - p)"), (1 if k == 0 else rate)
+        parts.append(f"e{k} as (select *, {error} as e from t{k}), a{k} as (select sum(e) as sy, count(*) as n from e{k})")
+        sides = " union all ".join(f"select {i} as f, v, sum(sy) over w as sl, sum(n) over w as nl from (select {c} as v, sum(e) as sy, count(*) as n from e{k} group by 1) window w as (order by v)" for i, c in enumerate("xz"))
+        parts.append(f"c{k} as ({sides}), b{k} as (select f, v from c{k}, a{k} where nl < n order by sl * sl / nl + (sy - sl) * (sy - sl) / (n - nl) desc limit 1)")
+        parts.append(f"t{k + 1} as (select x, z, y, p + {scale} * avg(e) over (partition by case when f = 0 then x <= v else z <= v end) as p from e{k}, b{k})")
+    return f"with {', '.join(parts)} select round(p, 4) as prediction, count(*) as n from t{rounds} group by 1"
+
+
+@query(_boosted_sql(1, 0.1))
+def random_forest_regressor_stump(spark, d):
+    data = planted(spark, d)
+    out = models.RandomForestRegressor(_X, n_estimators=1, max_depth=1, max_bins=64, bootstrap=False).fit(data).predict(data)
+    return out.groupBy(F.round("prediction", 4).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_boosted_sql(3, 0.1))
+def gradient_boosting_stumps(spark, d):
+    data = planted(spark, d)
+    out = models.GradientBoostingRegressor(_X, n_estimators=3, max_depth=1, max_bins=64).fit(data).predict(data)
+    return out.groupBy(F.round("prediction", 4).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def random_forest_regressor(spark, d):
     return _fitted(models.RandomForestRegressor(_X, n_estimators=20), planted(spark, d))
@@ -270,14 +296,74 @@ def decision_tree_classifier(spark, d):
     return _fitted(models.DecisionTreeClassifier(_Q), _quality(spark, d))
 
 
+def _parts(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.floor(F.col("p_size") / 2).cast("double").alias("a"), F.floor(F.col("p_retailprice") / 100).cast("double").alias("b"))
+    return p.withColumn("target", (F.col("a") + F.col("b") + F.col("p_partkey") % 7 > 27).cast("int"))
+
+
+def _samme_sql(rounds: int) -> str:
+    """Weighted stumps by Gini impurity; the weight of what a stump gets wrong grows by the odds that it is right."""
+    parts = ["t0 as (select p_partkey as id, floor(p_size / 2) as a, floor(p_retailprice / 100) as b, (floor(p_size / 2) + floor(p_retailprice / 100) + p_partkey % 7 > 27)::int as y, 1e0 as w, 0e0 as votes from part)"]
+    for k in range(rounds):
+        sides = " union all ".join(f"select {i} as f, v, sum(w0) over o as l0, sum(w1) over o as l1 from (select {c} as v, sum(w * (1 - y)) as w0, sum(w * y) as w1 from t{k} group by 1) window o as (order by v)" for i, c in enumerate("ab"))
+        parts.append(f"s{k} as (select sum(w * (1 - y)) as w0, sum(w * y) as w1 from t{k}), c{k} as ({sides})")
+        parts.append(f"b{k} as (select f, v from c{k}, s{k} where l0 + l1 < w0 + w1 - 1e-9 order by (l0 * l0 + l1 * l1) / (l0 + l1) + ((w0 - l0) ** 2 + (w1 - l1) ** 2) / (w0 + w1 - l0 - l1) desc limit 1)")
+        parts.append(f"j{k} as (select t{k}.*, (sum(w * y) over g > sum(w * (1 - y)) over g)::int as p from t{k}, b{k} window g as (partition by case when f = 0 then a <= v else b <= v end))")
+        parts.append(f"e{k} as (select sum(w * (p <> y)::int) / sum(w) as e from j{k})")
+        parts.append(f"t{k + 1} as (select id, a, b, y, w * case when p <> y then (1 - e) / e else 1 end as w, votes + ln((1 - e) / e) * (2 * p - 1) as votes from j{k}, e{k})")
+    return f"with {', '.join(parts)} select id as p_partkey, (votes > 0)::bigint as prediction from t{rounds}"
+
+
+@query(_samme_sql(3))
+def ada_boost_stumps(spark, d):
+    data = _parts(spark, d)
+    return models.AdaBoostClassifier(["a", "b"], n_estimators=3).fit(data).predict(data).select("p_partkey", F.col("prediction").cast("long").alias("prediction"))
+
+
+@query(_samme_sql(1))
+def decision_tree_classifier_stump(spark, d):
+    data = _parts(spark, d)
+    return models.DecisionTreeClassifier(["a", "b"], max_depth=1).fit(data).predict(data).select("p_partkey", F.col("prediction").cast("long").alias("prediction"))
+
+
+# A forest of one tree on all rows is that tree, and so is the first stump of boosting on two classes.
+@query(_samme_sql(1))
+def random_forest_classifier_stump(spark, d):
+    data = _parts(spark, d)
+    return models.RandomForestClassifier(["a", "b"], n_estimators=1, max_depth=1, bootstrap=False).fit(data).predict(data).select("p_partkey", F.col("prediction").cast("long").alias("prediction"))
+
+
+@query(_samme_sql(1))
+def gradient_boosting_classifier_stump(spark, d):
+    data = _parts(spark, d)
+    return models.GradientBoostingClassifier(["a", "b"], n_estimators=1, max_depth=1).fit(data).predict(data).select("p_partkey", F.col("prediction").cast("long").alias("prediction"))
+
+
 @query()
 def random_forest_classifier(spark, d):
     return _fitted(models.RandomForestClassifier(_Q, n_estimators=20), _quality(spark, d))
 
 
-@query()
+def _newton_sql(steps: int, source: str = _QUALITY) -> str:
+    """Newton's method for two features and a constant, the 3 x 3 systems solved by Cramer's rule."""
+    parts = [f"q as (select target as y, letters as u, spaces as v from {source})", "w0 as (select 0e0 as a, 0e0 as b, 0e0 as c)"]
+    for k in range(steps):
+        parts.append(f"p{k} as (select y, u, v, 1 / (1 + exp(-(a + b * u + c * v))) as p from q, w{k})")
+        parts.append(
+            f"s{k} as (select sum(y - p) as g0, sum((y - p) * u) as g1, sum((y - p) * v) as g2, sum(p * (1 - p)) as h00, sum(p * (1 - p) * u) as h01, sum(p * (1 - p) * v) as h02, sum(p * (1 - p) * u * u) as h11, sum(p * (1 - p) * u * v) as h12, sum(p * (1 - p) * v * v) as h22 from p{k})"
+        )
+        parts.append(f"d{k} as (select *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) as d from s{k})")
+        parts.append(
+            f"w{k + 1} as (select a + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / d as a, "
+            "b + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / d as b, "
+            f"c + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / d as c from w{k}, d{k})"
+        )
+    return f"with {', '.join(parts)} select 'LogisticRegression' as model, round(avg(((a + b * u + c * v > 0)::int = y)::int::double), 6) as score from q, w{steps}"
+
+
+@query(_newton_sql(12))
 def logistic_regression(spark, d):
-    return _fitted(models.LogisticRegression(_Q), _quality(spark, d))
+    return rounded(_fitted(models.LogisticRegression(_Q, max_iter=500), _quality(spark, d)), 6)
 
 
 @query()
@@ -358,6 +444,13 @@ def kmeans_lloyd(spark, d):
     return cluster.assign(s, ["x", "y"], centres).select("s_suppkey", F.col("cluster").cast("long").alias("cluster"))
 
 
+@query(f"select cluster as prediction, count(*) as n from ({_lloyd_sql(4)}) group by 1")
+def kmeans_given_centres(spark, d):
+    s = _suppliers(spark, d)
+    model = cluster.KMeans(["x", "y"], 3, max_iter=4, centres=[[0.0, 1.0], [5.0, 2.0], [9.0, 4.0]]).fit(s)
+    return model.predict(s).groupBy(F.col("prediction").cast("long").alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def kmeans(spark, d):
     s = _suppliers(spark, d)
@@ -388,17 +481,32 @@ def pca(spark, d):
 # --- tuning -----------------------------------------------------------------------------------------------------------
 
 
-@query(
-    f"with t as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as key, l_quantity as x, l_discount as z, {PLANTED} as y from lineitem), f as (select x, z, y, (row_number() over (order by md5(key || ':42'), key) - 1) % 3 as fold from t), "
-    "g as (select v.fold, covar_pop(x, x) as xx, covar_pop(x, z) as xz, covar_pop(z, z) as zz, covar_pop(x, y) as xy, covar_pop(z, y) as zy, avg(x) as mx, avg(z) as mz, avg(y) as my from (select distinct fold from f) v join f on f.fold <> v.fold group by 1), "
-    "w as (select fold, mx, mz, my, (xy * zz - zy * xz) / (xx * zz - xz * xz) as w0, (zy * xx - xy * xz) / (xx * zz - xz * xz) as w1 from g) "
-    "select fold::bigint as fold, round(1 - sum((y - my - w0 * (x - mx) - w1 * (z - mz)) ** 2) / regr_syy(y, y), 6) as score from f join w using (fold) group by 1"
-)
+def _folded_sql(alpha: str) -> str:
+    """R squared of ridge regression on every fold, fitted on the others."""
+    return (
+        f"with t as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as key, l_quantity as x, l_discount as z, {PLANTED} as y from lineitem), f as (select x, z, y, (row_number() over (order by md5(key || ':42'), key) - 1) % 3 as fold from t), "
+        f"g as (select v.fold, regr_sxx(x, x) + {alpha} as xx, count(*) * covar_pop(x, z) as xz, regr_sxx(z, z) + {alpha} as zz, count(*) * covar_pop(x, y) as xy, count(*) * covar_pop(z, y) as zy, avg(x) as mx, avg(z) as mz, avg(y) as my from (select distinct fold from f) v join f on f.fold <> v.fold group by 1), "
+        "w as (select fold, mx, mz, my, (xy * zz - zy * xz) / (xx * zz - xz * xz) as w0, (zy * xx - xy * xz) / (xx * zz - xz * xz) as w1 from g) "
+        "select fold::bigint as fold, 1 - sum((y - my - w0 * (x - mx) - w1 * (z - mz)) ** 2) / regr_syy(y, y) as score from f join w using (fold) group by 1"
+    )
+
+
+def _keyed(spark, d):
+    return planted(spark, d).withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+
+
+@query(f"select fold, round(score, 6) as score from ({_folded_sql('0')})")
 def cross_val_score(spark, d):
-    scores = selection.cross_val_score(lambda: models.LinearRegression(_X), planted(spark, d).withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), "key", 3)
+    scores = selection.cross_val_score(lambda: models.LinearRegression(_X), _keyed(spark, d), "key", 3)
     return rounded(spark.createDataFrame(list(enumerate(scores)), "fold long, score double"), 6)
 
 
+@query(" union all ".join(f"select {a}::double as alpha, round(avg(score), 6) as score from ({_folded_sql(a)})" for a in ("0.5", "20", "500")))
+def grid_search_ridge(spark, d):
+    found = selection.GridSearchCV(lambda **p: models.Ridge(_X, **p), {"alpha": [0.5, 20.0, 500.0]}, cv=3).fit(_keyed(spark, d), "key")
+    return rounded(spark.createDataFrame([(p["alpha"], s) for s, p in found.results], "alpha double, score double"), 6)
+
+
 @query()
 def grid_search(spark, d):
     data = _quality(spark, d)
@@ -406,8 +514,12 @@ def grid_search(spark, d):
     return spark.createDataFrame([(json.dumps(p), s) for s, p in found.results], "params string, score double")
 
 
-@query()
+_HOLED = f"(select target, spaces, coalesce(l, median(l) over ()) as letters from (select *, case when doc_id % 9 > 0 then letters end as l from {_QUALITY}))"
+
+
+# Scaling does not change what logistic regression predicts.
+@query(_newton_sql(12, _HOLED).replace("'LogisticRegression'", "'Pipeline'"))
 def pipeline_fit(spark, d):
     data = _quality(spark, d).withColumn("letters", F.when(F.col("doc_id") % 9 > 0, F.col("letters")))
-    steps = [pp.SimpleImputer(_Q, "median"), pp.StandardScaler(_Q), models.LogisticRegression(_Q)]
-    return _fitted(selection.Pipeline(steps), data)
+    steps = [pp.SimpleImputer(_Q, "median"), pp.StandardScaler(_Q), models.LogisticRegression(_Q, max_iter=500)]
+    return rounded(_fitted(selection.Pipeline(steps), data), 6)
