@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .ranks import spread_rank
+from .storage import Table
 
 DENOMINATOR = 1 << 52
 CHUNK = 1024
@@ -105,9 +106,9 @@ def mix_sources(
     """Every row with its place in the mixture: doc_id, source, block, slot, place, position (gapless from 0).
 
     ``weights`` maps sources to positive numbers; left out, a source weighs rows ** temperature. A null source is a
-    source of its own and null ids rank like other values; equal rows get places of their own, in any order (rows of
-    one id and source are ranked in one range). An empty table gives an empty result. ``carry`` columns come along
-    unchanged. ``block_rows``, left out, is 32, or more if the table would have over 4 million blocks.
+    source of its own and null ids rank like other values; equal rows get places of their own, in any order. Rows of one
+    id and source, if they are more than a range holds, are written with a number and spread by it. An empty table gives
+    an empty result. ``carry`` columns come along unchanged. ``block_rows``, left out, is 32, or more if the table would have over 4 million blocks.
     """
     spark = df.sparkSession
     counts = {r[0]: r[1] for r in df.groupBy(F.col(source_col).cast("string").alias("s")).count().collect()}
@@ -118,6 +119,12 @@ def mix_sources(
     block_rows = block_rows or max(BLOCK_ROWS, math.ceil(sum(counts.values()) / MAX_BLOCKS))
     places = spark.createDataFrame([(s, c, list(x), list(y)) for s, c, x, y in plan(counts, weights, block_rows, CHUNK)], PLAN)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(6), F.col(id_col)).alias("__hash"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
+    hot = rows.groupBy(F.col("source").alias("__s"), F.col("doc_id").alias("__i")).agg(F.count(F.lit(1)).alias("__many")).where(F.col("__many") > bucket_rows)
+    if hot.head(1):
+        # Row numbers hold for a written table only; the other side has one row per hot id, so the join can be split.
+        rows = Table(spark, rows.withColumn("__row", F.monotonically_increasing_id()), "mixture").df
+        rows = rows.join(hot, F.col("source").eqNullSafe(F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__i")), "left")
+        rows = rows.withColumn("__hash", F.when(F.col("__many").isNull(), F.col("__hash")).otherwise(F.xxhash64(F.lit(6), "doc_id", "__row"))).drop("__s", "__i", "__many")
     ranked = spread_rank(rows, ["source"], "__hash", ["doc_id"], max(1, math.ceil(max(counts.values(), default=0) / bucket_rows)), "__rank")
     ranked = ranked.withColumn("block", F.floor(F.col("__rank") / block_rows)).withColumn("place", F.col("__rank") % block_rows)
     # At most MAX_BLOCKS blocks of sixteen bytes, and a row for each source.

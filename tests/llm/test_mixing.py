@@ -109,3 +109,12 @@ def test_more_sources_than_a_thousand(spark):
     rows = [(i, f"s{i % 1500}", 1, "") for i in range(3000)]
     got = mix_sources(spark.createDataFrame(rows, SCHEMA), dict.fromkeys({r[1] for r in rows}, 1.0)).collect()
     assert sorted(r.position for r in got) == list(range(3000))
+
+
+def test_many_rows_of_one_id(spark):
+    rows = [(None, "a", 1, f"t{i}") for i in range(900)] + [(7, None, 1, "same")] * 300 + [(i, "b", 1, "") for i in range(100, 400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = mix_sources(df, bucket_rows=50, carry=("text",)).collect()
+    assert sorted(r.position for r in got) == list(range(1500))
+    assert Counter((r.doc_id, r.source, r.text) for r in got) == Counter((i, s, t) for i, s, _, t in rows)
+    assert {(r.source, r.block * 32 + r.place) for r in got} == {(s, k) for s, n in (("a", 900), (None, 300), ("b", 300)) for k in range(n)}
