@@ -158,6 +158,14 @@ def test_scores_against_brute_force(spark, monkeypatch):
         assert i == r[0] and abs(score - r[1]) < 2e-3 * abs(score), (i, score, r[1])
 
 
+def test_copies_of_one_row_are_spread_and_scored_alike(spark):
+    rows = corpus(30) + [(None, "one row of many", 1, 1, 1)] * 200 + [(1, "and another one", 1, 1, 1)] * 200
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    one, two = (sorted(cm.lm_scores(df, block_bytes=b).collect(), key=str) for b in (10**8, 1500))
+    assert len(one) == len(rows) and [(a.doc_id, a.n_tokens, a.n_known, a.train_tokens) for a in one] == [(b.doc_id, b.n_tokens, b.n_known, b.train_tokens) for b in two]
+    assert all(abs(a.score - b.score) < 1e-6 * abs(a.score) for a, b in zip(one, two, strict=True))
+
+
 def test_no_rows_and_no_training_rows(spark):
     assert cm.lm_scores(spark.createDataFrame([], SCHEMA)).count() == 0
     row = cm.lm_scores(spark.createDataFrame([(None, "ab", 1, 1, 1)], SCHEMA)).first()
