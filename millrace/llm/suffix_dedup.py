@@ -296,16 +296,17 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     shared.drop()
     emitted.drop()
     release(spark)
-    texts = Table(spark, _same(docs.select(*_KEYS, "text"), lists.df), "texts")
-    lists.drop()
-    release(spark)
     # Equal stretches: the first stands for all.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "start")
-    digests = texts.df.mapInArrow(_digests, DIGESTS)
+    # Written by itself: the sorts of the join, Python and the sort of the aggregate would share a task's memory.
+    digests = Table(spark, _same(docs.select(*_KEYS, "text"), lists.df).mapInArrow(_digests, DIGESTS), "digests")
+    release(spark)
     same = (F.min("check") == F.max("check")) & (F.min("shape") == F.max("shape"))
-    found = digests.groupBy("anchor", "digest").agg(F.min(order).alias("o"), F.min("shape").alias("shape"), same.alias("same"))
+    found = digests.df.groupBy("anchor", "digest").agg(F.min(order).alias("o"), F.min("shape").alias("shape"), same.alias("same"))
     verified = F.when(F.col("same"), F.col("shape")).otherwise(F.raise_error(F.lit("two different stretches share a digest")).cast("int"))
     firsts = Table(spark, found.select("anchor", "digest", "o.doc_id", "o.text_key", "o.start", verified.alias("shape")), "firsts")
+    digests.drop()
+    release(spark)
     several = Table(spark, firsts.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
     total = several.df.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_width(spark), math.ceil(total / bucket_stretches))
@@ -315,7 +316,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     left = firsts.df.join(several.df, "anchor").select("anchor", *_KEYS, "start", "shape", F.pmod(F.xxhash64("anchor", block), F.lit(buckets)).alias("bucket"), blocks.alias("blocks"))
     asked = Table(spark, left.groupBy(*_KEYS).agg(F.collect_list(F.struct("anchor", "start", "shape", "bucket", "blocks")).alias("uses")), "asked")
     release(spark)
-    dealt = _same(texts.df.select(*_KEYS, "text"), asked.df).mapInArrow(_contents, CONTENTS)
+    dealt = _same(docs.select(*_KEYS, "text"), asked.df).mapInArrow(_contents, CONTENTS)
     resolved = Table(spark, dealt.groupBy("bucket").applyInArrow(_resolve, FIRSTS), "resolved")
     asked.drop()
     release(spark)
@@ -325,10 +326,10 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     first_runs = Table(spark, reduce(DataFrame.union, parts).groupBy(*_KEYS).agg(F.collect_list(F.struct("start", "run")).alias("firsts")), "first-runs")
     for used in (firsts, several, resolved):
         used.drop()
-    slim = texts.df.select(*_KEYS, "text", F.transform("uses", lambda u: F.struct(u["start"].alias("start"), u["shape"].alias("shape"))).alias("uses"))
+    slim = lists.df.select(*_KEYS, F.transform("uses", lambda u: F.struct(u["start"].alias("start"), u["shape"].alias("shape"))).alias("uses"))
     release(spark)
-    cut = Table(spark, _same(slim, first_runs.df, "left").mapInArrow(_cut(with_text), CUT), "cut")
-    for used in (texts, first_runs, repeated):
+    cut = Table(spark, _same(docs.select(*_KEYS, "text"), _same(slim, first_runs.df, "left")).mapInArrow(_cut(with_text), CUT), "cut")
+    for used in (lists, first_runs, repeated):
         used.drop()
     release(spark)
     done = _same(every.df, cut.df, "left")
