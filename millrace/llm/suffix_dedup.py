@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -115,6 +116,10 @@ class Extensions:
     def __init__(self, data: np.ndarray, limit: int = WINDOW):
         self.data, self.limit = data, limit
         self.sums, self.inverse = ta.prefix_hashes(data), ta.powers(len(data) + 1, inverse=True)
+        # The first eight bytes of every suffix as one number.
+        self.heads = np.zeros(len(data), np.uint64)
+        for k in range(8):
+            self.heads[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix of suffixes i and j (both at least ``limit`` bytes long)."""
@@ -138,7 +143,8 @@ class Extensions:
 
     def verified_equal(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether the hashes call the two equal, checked byte by byte."""
-        same = self.common(i, j) >= self.limit
+        end = self.limit
+        same = (self.sums[i + end] - self.sums[i]) * self.inverse[i] == (self.sums[j + end] - self.sums[j]) * self.inverse[j]
         view = np.lib.stride_tricks.sliding_window_view(self.data, self.limit)
         where = np.flatnonzero(same)
         for a in range(0, len(where), 1 << 15):
@@ -185,6 +191,13 @@ def window_classes(data: np.ndarray, starts: np.ndarray, segment: np.ndarray) ->
     """A class number for each window: equal within a segment means equal content."""
     try:
         extensions = Extensions(data)
+        # Suffixes with different first bytes are ordered by these; the others are merged.
+        heads = extensions.heads[starts]
+        order = np.lexsort((heads, segment))
+        change = np.ones(len(order), bool)
+        change[1:] = (segment[order][1:] != segment[order][:-1]) | (heads[order][1:] != heads[order][:-1])
+        segment = segment.copy()
+        segment[order] = np.cumsum(change)
         order = merge_sort(extensions, starts, segment)
         fresh = np.ones(len(order), bool)
         same_segment = np.flatnonzero(segment[order][1:] == segment[order][:-1]) + 1
@@ -238,32 +251,44 @@ def _resolve(table):
 CUT = "doc_id long, text_key long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
 
 
-def cut_text(text: bytes, uses: list[tuple[int, int]], firsts: list[tuple[int, int]]) -> tuple[int, int, bytes]:
-    """Removed bytes, removed runs and what is left, given repeated windows and those that come first (start, run)."""
-    n = len(text)
-    repeated = np.zeros(max(n - WINDOW + 1, 0), bool)
-    for start, run in uses:
-        repeated[start : start + run] = True
-    for start, run in firsts:
-        repeated[start : start + run] = False
-    at = np.flatnonzero(repeated)
+def _spread(n: int, begin: np.ndarray, width) -> np.ndarray:
+    """Which of n places lie in one of the stretches."""
     edges = np.zeros(n + 1, np.int32)
-    edges[at] += 1
-    edges[at + WINDOW] -= 1
-    covered = np.cumsum(edges[:-1]) > 0
-    spans = int(covered[:1].sum() + (covered[1:] & ~covered[:-1]).sum())
-    return int(covered.sum()), spans, np.frombuffer(text, np.uint8)[~covered].tobytes()
+    np.add.at(edges, begin, 1)
+    np.add.at(edges, begin + width, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def cut_texts(data: np.ndarray, offsets: np.ndarray, uses: tuple[np.ndarray, np.ndarray], firsts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of each flat text the removed bytes, the removed runs and what is left.
+
+    ``uses`` are stretches (begin in the flat bytes, number) of windows that may repeat, ``firsts`` of those that come first.
+    """
+    n = len(data)
+    windows = np.flatnonzero(_spread(n, *uses) & ~_spread(n, *firsts))
+    covered = _spread(n, windows, WINDOW)
+    fresh = covered.copy()
+    fresh[1:] &= ~covered[:-1]
+    heads = offsets[:-1][offsets[:-1] < n]
+    fresh[heads] = covered[heads]
+    removed, spans = (np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]) for x in (covered, fresh))
+    blob, kept = data[~covered].tobytes(), offsets - np.concatenate([[0], np.cumsum(covered)])[offsets]
+    return removed, spans, [blob[a:b] for a, b in zip(kept, kept[1:], strict=False)]
+
+
+def _flat_stretches(column: pa.Array, offsets: np.ndarray, width: str) -> tuple[np.ndarray, np.ndarray]:
+    items, counts = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(offsets[:-1], counts) + items.field("start").to_numpy(), items.field(width).to_numpy()
 
 
 def _cut(with_text: bool):
     def run(batches):
         for batch in ta.slices(batches, "text"):
-            rows = []
-            for text, uses, firsts in zip(batch.column("text"), batch.column("uses"), batch.column("firsts"), strict=True):
-                used = [(x["start"], x["shape"] >> 8) for x in uses.as_py()]
-                rows.append(cut_text(text.as_py().encode(), used, [(x["start"], x["run"]) for x in firsts.as_py() or []]))
-            kept = [hashlib.sha256(r[2]).hexdigest() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(kept), pa.array([r[2] if with_text else None for r in rows], pa.binary())], names=["doc_id", "text_key", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            data, offsets = ta.flat(batch.column("text"))
+            begin, shape = _flat_stretches(batch.column("uses"), offsets, "shape")
+            removed, spans, kept = cut_texts(data, offsets, (begin, shape >> 8), _flat_stretches(batch.column("firsts"), offsets, "run"))
+            digests = [hashlib.sha256(k).hexdigest() for k in kept]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), pa.array(digests), pa.array(kept if with_text else [None] * len(kept), pa.binary())], names=["doc_id", "text_key", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     return run
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm.suffix_dedup import Extensions, cut_text, merge_sort, remove_repeats, sliding_argmin, stretches, window_classes
+from millrace.llm.suffix_dedup import Extensions, cut_texts, merge_sort, remove_repeats, sliding_argmin, stretches, window_classes
 
 SCHEMA = "doc_id long, text string, anchor int, uses string, start long"
 
@@ -103,6 +103,11 @@ def test_stretches_cover_every_window_once():
     assert ((gap - run + 1 >= 0) & (gap < 77)).all()
 
 
-def test_cut_text():
-    assert cut_text(b"x" * 300, [(0, 201)], [(0, 1)]) == (299, 1, b"x")
-    assert cut_text(b"short", [], []) == (0, 0, b"short")
+def test_cut_texts():
+    texts, none = [b"x" * 300, b"", b"short", b"y" * 100, b"z" * 250], np.zeros(0, np.int64)
+    offsets = np.cumsum([0, *map(len, texts)])
+    uses = (np.array([0, 305, 405, 505]), np.array([201, 1, 1, 40]))
+    removed, spans, kept = cut_texts(np.frombuffer(b"".join(texts), np.uint8), offsets, uses, (np.array([0, 505]), np.array([1, 39])))
+    # Windows that touch at the end of a text and the start of the next are two runs.
+    assert removed.tolist() == [299, 0, 0, 100, 200] and spans.tolist() == [1, 0, 0, 1, 2] and kept == [b"x", b"", b"short", b"", b"z" * 50]
+    assert cut_texts(np.zeros(0, np.uint8), np.array([0, 0]), (none, none), (none, none))[2] == [b""]
