@@ -57,7 +57,7 @@ class RobustScaler(_Scaler):
 
     def fit(self, df):
         row = quantiles(df, {f"q{i}": F.col(c) for i, c in enumerate(self.columns)}, [0.25, 0.5, 0.75]).first()
-        found = [row[f"q{i}"] if row else [None] * 3 for i in range(len(self.columns))]
+        found = [row[f"q{i}"] or [None] * 3 for i in range(len(self.columns))]
         self.moments = {c: (m, None if low is None else high - low) for c, (low, m, high) in zip(self.columns, found, strict=True)}
         return self
 
@@ -138,7 +138,7 @@ class SimpleImputer(Transform):
             self.values = dict.fromkeys(self.columns, self.fill_value)
         elif self.strategy == "median":
             row = quantiles(df, known, [0.5]).first()
-            self.values = {c: row[c][0] if row else None for c in self.columns}
+            self.values = {c: row[c][0] if row[c] else None for c in self.columns}
         elif self.strategy == "most_frequent":
             # Counts by value, so that no task holds all values; the least of the most frequent.
             best = F.max(F.struct("count", (-F.col("x")).alias("y")))["y"]

@@ -17,37 +17,38 @@ def quantiles(df: DataFrame, columns: dict[str, Column], points: list[float], by
     pass counts what is below and the distinct values inside, so a group's task holds those alone. Nulls don't count; a
     column without values gives nulls.
     """
-    groups, names = [f"__g{i}" for i in range(len(by or []) + 1)], list(columns)
-    keys = [F.lit(0).alias(groups[0]), *[F.col(f"`{c}`").alias(g) for c, g in zip(by or [], groups[1:], strict=True)]]
-    rows = df.select(*keys, *[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    groups, names = [f"__g{i}" for i in range(len(by or []))], list(columns)
+    keys = [F.col(f"`{c}`").alias(g) for c, g in zip(by or [], groups, strict=True)]
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), columns[n].cast("double").alias("v")) for i, n in enumerate(names)]))
+    rows = df.select(*keys, values.alias("x")).select(*groups, "x.i", "x.v")
     ends = [F.lit(min(1.0, max(0.0, p + side * 3 / ACCURACY))) for p in points for side in (-1, 1)]
-    sketch = rows.groupBy(*groups).agg(*[F.percentile_approx(f"v{i}", F.array(*ends), ACCURACY).alias(f"b{i}") for i in range(len(names))])
-    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"__s{g}")) for g in groups])
-    sketch = sketch.withColumnsRenamed({g: f"__s{g}" for g in groups})
-    # One row per group on the right; without groups one row in all.
+    cell = [*groups, "i"]
+    named = {c: f"__s{c}" for c in cell}
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(named[c])) for c in cell])
+    sketch = rows.groupBy(*cell).agg(F.percentile_approx("v", F.array(*ends), ACCURACY).alias("b")).withColumnsRenamed(named)
+    # One row per group and column on the right; without groups one row per column.
     met = rows.join(sketch if by else F.broadcast(sketch), same)
-    cells = [(i, k) for i in range(len(names)) for k in range(len(points))]
-    low, high = (lambda i, k: F.col(f"b{i}")[2 * k]), (lambda i, k: F.col(f"b{i}")[2 * k + 1])
-    under = [F.struct(F.count(F.when(F.col(f"v{i}") < low(i, k), 1)).alias("below"), F.max(F.when(F.col(f"v{i}") < low(i, k), F.col(f"v{i}"))).alias("before"), F.min(F.when(F.col(f"v{i}") > high(i, k), F.col(f"v{i}"))).alias("behind"), F.count(f"v{i}").alias("n")).alias(f"c{i}_{k}") for i, k in cells]
-    sides = met.groupBy(*groups).agg(*under)
-    inside = F.filter(F.array(*[F.when(F.col(f"v{i}").between(low(i, k), high(i, k)), F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"v{i}").alias("v"))) for i, k in cells]), lambda x: x.isNotNull())
-    counted = met.select(*groups, F.explode(inside).alias("x")).groupBy(*groups, "x.i", "x.k", "x.v").agg(F.count(F.lit(1)).alias("m"))
-    lists = counted.groupBy(*groups).agg(*[F.array_sort(F.collect_list(F.when((F.col("i") == i) & (F.col("k") == k), F.struct("v", "m")))).alias(f"l{i}_{k}") for i, k in cells])
-    lists = lists.withColumnsRenamed({g: f"__s{g}" for g in groups})
-    both = sides.join(lists, same, "left")
-
-    def value(i: int, k: int, rank: Column) -> Column:
-        side, inner = F.col(f"c{i}_{k}"), F.coalesce(F.col(f"l{i}_{k}"), F.array().cast("array<struct<v:double,m:bigint>>"))
-        start = F.struct(side["below"].alias("seen"), F.lit(None).cast("double").alias("v"))
+    low, high = (lambda k: F.col("b")[2 * k]), (lambda k: F.col("b")[2 * k + 1])
+    under = [x for k in range(len(points)) for x in (F.count(F.when(F.col("v") < low(k), 1)).alias(f"below{k}"), F.max(F.when(F.col("v") < low(k), F.col("v"))).alias(f"before{k}"), F.min(F.when(F.col("v") > high(k), F.col("v"))).alias(f"behind{k}"))]
+    sides = met.groupBy(*cell).agg(F.count("v").alias("n"), *under)
+    inside = F.filter(F.array(*[F.when(F.col("v").between(low(k), high(k)), F.lit(k)) for k in range(len(points))]), lambda k: k.isNotNull())
+    counted = met.select(*cell, "v", F.explode(inside).alias("k")).groupBy(*cell, "k", "v").agg(F.count(F.lit(1)).alias("m"))
+    lists = counted.groupBy(*cell).agg(*[F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct("v", "m")))).alias(f"l{k}") for k in range(len(points))])
+    both = sides.join(lists.withColumnsRenamed(named), same, "left")
+
+    def value(k: int, rank: Column) -> Column:
+        inner = F.coalesce(F.col(f"l{k}"), F.array().cast("array<struct<v:double,m:bigint>>"))
+        start = F.struct(F.col(f"below{k}").alias("seen"), F.lit(None).cast("double").alias("v"))
         # The first value whose copies reach beyond the rank.
         found = F.aggregate(inner, start, lambda a, x: F.struct((a["seen"] + x["m"]).alias("seen"), F.when((a["seen"] <= rank) & (a["seen"] + x["m"] > rank), x["v"]).otherwise(a["v"]).alias("v")))["v"]
-        return F.when(rank < side["below"], side["before"]).otherwise(F.coalesce(found, side["behind"]))
+        return F.when(rank < F.col(f"below{k}"), F.col(f"before{k}")).otherwise(F.coalesce(found, F.col(f"behind{k}")))
 
-    def quantile(i: int, k: int) -> Column:
-        place = F.lit(points[k]) * (F.col(f"c{i}_{k}")["n"] - 1)
+    def quantile(k: int) -> Column:
+        place = F.lit(points[k]) * (F.col("n") - 1)
         first = F.floor(place)
-        a, b = value(i, k, first), value(i, k, first + 1)
+        a, b = value(k, first), value(k, first + 1)
         return F.when(place > first, a + (b - a) * (place - first)).otherwise(a)
 
-    made = [F.array(*[quantile(i, k) for k in range(len(points))]).alias(n) for i, n in enumerate(names)]
-    return both.select(*[F.col(g).alias(c) for c, g in zip(by or [], groups[1:], strict=True)], *made)
+    done = both.select(*cell, F.array(*[quantile(k) for k in range(len(points))]).alias("q"))
+    wide = done.groupBy(*groups).agg(*[F.first(F.when(F.col("i") == i, F.col("q")), ignorenulls=True).alias(n) for i, n in enumerate(names)])
+    return wide.select(*[F.col(g).alias(c) for c, g in zip(by or [], groups, strict=True)], *names)

@@ -66,6 +66,14 @@ def test_quantiles_are_exact(spark, n, monkeypatch):
     assert np.allclose(quantiles.quantiles(df, {"v": F.col("v")}, [0.25, 0.5, 0.75]).first().v, np.quantile(local.v, [0.25, 0.5, 0.75]))
 
 
+def test_statistics_of_an_empty_table(spark, edge):
+    none = edge.limit(0)
+    assert quantiles.quantiles(none, {"x": F.col("x")}, [0.5]).first().x is None
+    assert frame.describe(none, ["x"]).first().p50 is None and frame.describe(none, ["x"], ["g"]).count() == 0
+    assert pp.RobustScaler(["x"]).fit_transform(none).count() == pp.SimpleImputer(["x"], "median").fit_transform(none).count() == 0
+    assert frame.with_position(none, ["id"]).count() == 0
+
+
 def test_more_classes_than_the_plan_holds(spark):
     df = spark.range(500).select("id", F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("c")).union(spark.createDataFrame([(1, None)], "id long, c string"))
     e = pp.LabelEncoder("c", few=20)
