@@ -12,7 +12,7 @@ from millrace.llm.decontaminate import without_contaminated
 from millrace.llm.mixing import mix_sources
 from millrace.llm.neardup import near_duplicates
 from millrace.llm.sharding import shard_documents
-from millrace.llm.storage import Table
+from millrace.llm.storage import Table, release
 from millrace.llm.toxicity import THRESHOLD, train, with_scores
 
 
@@ -100,4 +100,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table.df
         if before:
             before.drop()
+        release(spark)
     return docs

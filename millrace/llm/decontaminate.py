@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .storage import Table
+from .storage import Table, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -135,6 +135,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     chosen = sharing.df.select(F.col("text_md5").alias("md5"), "first_id")
     texts = named.join(chosen, (F.col("text_md5") == F.col("md5")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["text_md5"])
     found = Table(spark, texts.select(F.monotonically_increasing_id().alias("kid"), "text_md5", words_of(F.col("text")).alias("words")), "shared-texts")
+    release(spark)
     # 2. Item-sized windows over a shingle shared with the item.
     n = F.size("words")
     hit = []
@@ -144,16 +145,20 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     if not hit:
         return Table(spark, found.df.select("text_md5", F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity")).limit(0), "contaminated")
     starts = Table(spark, window_starts(reduce(DataFrame.union, hit)), "windows")
+    release(spark)
     windows = starts.df.select("kid", "m", "start").distinct().join(found.df.select("kid", "words"), "kid").select("kid", "m", "start", F.slice("words", F.col("start") + 1, F.col("m")).alias("words"))
-    # 3. Fingerprints, and all pairs within the radius by agreeing blocks.
-    prints = simhash(windows, ["kid", "m", "start"], "words")
+    # 3. Fingerprints, and all pairs within the radius by agreeing blocks. They are written, as their 64 terms would
+    # otherwise stand in the plan of the pairs too. The driver's heap is collected between the plans, before it grows.
+    prints = Table(spark, simhash(windows, ["kid", "m", "start"], "words"), "window-fingerprints")
     items = Table(spark, simhash(parts.df, ["part"], "words").select("part", F.col("fp").alias("item_fp"), _blocks(F.col("fp")).alias("b")).select("part", "item_fp", "b.*"), "fingerprints")
-    paired = starts.df.join(prints, ["kid", "m", "start"])
+    release(spark)
+    paired = starts.df.join(prints.df, ["kid", "m", "start"])
     probes = paired.select("kid", "start", F.col("part").alias("p_part"), "fp", _blocks(F.col("fp")).alias("b")).select("kid", "start", "p_part", "fp", F.col("b.block").alias("p_block"), F.col("b.value").alias("p_value"))
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     meet = (F.col("p_part") == F.col("part")) & (F.col("p_block") == F.col("block")) & (F.col("p_value") == F.col("value"))
     near = probes.join(_small(items.df), meet).where((_first_agreement(apart) == F.col("block")) & (F.bit_count(apart) <= RADIUS))
     candidates = Table(spark, near.join(_small(parts.df.select("part", "m")), "part").select("kid", "m", "start", "part"), "candidates")
+    release(spark)
     # 4. Exact weighted similarity.
     runs = candidates.df.join(found.df.select("kid", "words"), "kid").select("kid", "start", "part", F.explode(_let(F.slice("words", F.col("start") + 1, F.col("m")), _runs)).alias("run"))
     weighed = runs.groupBy("kid", "start", "part", "run").agg(F.count(F.lit(1)).alias("a"))
@@ -165,8 +170,9 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     best = by_item.groupBy("kid").agg(F.count(F.lit(1)).alias("n_items"), F.max(F.struct("similarity", (-F.col("item")).alias("minus"))).alias("b"))
     named_again = best.join(found.df.select("kid", "text_md5"), "kid")
     out = Table(spark, named_again.select("text_md5", "n_items", (-F.col("b.minus")).alias("item_id"), F.col("b.similarity").alias("similarity")), "contaminated")
-    for used in (sharing, found, candidates, parts, known, starts, items, weights):
+    for used in (sharing, found, candidates, parts, known, starts, prints, items, weights):
         used.drop()
+    release(spark)
     return out
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textarrays as ta
 from .components import components
-from .storage import Table
+from .storage import Table, release
 
 COORDINATES = 64
 MISS = 2e-6
@@ -213,8 +213,10 @@ def near_duplicates(
     if sets.df.count() > wanted.df.count():
         every, sets = sets, Table(spark, sets.df.dropDuplicates(["rid"]), "sets")
         every.drop()
+    release(spark)
     links = [Table(spark, _verified(star.df, sets.df, percent), "links")]
     settled = components(links[0].df)
+    release(spark)
 
     here = met.df.select("node", "rid", "n")
     marked = here.join(settled.df.select(F.col("u").alias("rid"), F.col("v").alias("c")), "rid", "left").select("node", "rid", "n", F.coalesce("c", "rid").alias("comp"))
@@ -239,11 +241,13 @@ def near_duplicates(
         compared.append(cut.join(sets.df, "rid").groupBy("node", "first", "second").applyInArrow(_compare_nodes(percent), "u long, v long"))
     for found in compared:
         links.append(Table(spark, found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"))
+    release(spark)
     final = components(_union([x.df for x in links]))
     member = reps.df.join(final.df, reps.df.rid == final.df.u, "left").select("class", "least", F.coalesce("v", "rid").alias("comp"))
     member = Table(spark, member, "members")
     for used in (reps, heads, met, star, wanted, sets, settled, marked, mixed, open_, *shapes, *links, final):
         used.drop()
+    release(spark)
     lowest = Table(spark, member.df.groupBy("comp").agg(F.min("least").alias("component_id")), "lowest")
     # One row per component, then one row per class: the other sides can be split where they are hot.
     classes = member.df.join(lowest.df, "comp").select("class", "component_id")

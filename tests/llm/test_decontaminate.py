@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import decontaminate
 from millrace.llm.decontaminate import contamination, simhash, without_contaminated
 
 DOCS = "doc_id long, text string, kid long, m int, words string"
@@ -107,3 +108,23 @@ def test_an_item_of_many_words_is_judged_whole(spark):
     half = " ".join(words_[:33_000])
     got = contamination(spark.createDataFrame([(1, half, 0, 0, ""), (2, " ".join(words_), 0, 0, "")], DOCS), spark.createDataFrame([(1, " ".join(words_), 0)], ITEMS)).collect()
     assert {r.doc_id: r.contaminated for r in got} == {1: False, 2: True}
+
+
+def test_driver_plans_stay_small_and_its_heap_is_collected(spark, monkeypatch):
+    """The 64 terms of a fingerprint stand in no plan after the one that writes it; the heap is collected between plans."""
+    plans, calls = {}, []
+
+    class Spy(decontaminate.Table):
+        def __init__(self, spark, df, tag):
+            plans[tag] = df._jdf.queryExecution().optimizedPlan().toString()
+            calls.append(tag)
+            super().__init__(spark, df, tag)
+
+    monkeypatch.setattr(decontaminate, "Table", Spy)
+    monkeypatch.setattr(decontaminate, "release", lambda spark: calls.append("release"), raising=False)
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"zero {text} more"), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, text)], "item_id long, text string")
+    assert [(r.doc_id, r.contaminated) for r in decontaminate.contamination(docs, items).orderBy("doc_id").collect()] == [(1, True), (2, False)]
+    assert "lane" in plans["window-fingerprints"] and "lane" not in plans["candidates"]
+    assert calls.count("release") >= 4 and calls[calls.index("candidates") - 1] == "release"
