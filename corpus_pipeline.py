@@ -6,7 +6,10 @@ columns of ``docs``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import itertools
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm.decontaminate import without_contaminated
 from millrace.llm.mixing import mix_sources
@@ -16,10 +19,13 @@ from millrace.llm.storage import Table, release
 from millrace.llm.toxicity import THRESHOLD, train, with_scores
 
 
+def whole_row(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("__row")
+
+
 def whole_rows(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns and all columns as one, so that names of documents never meet those of the operators."""
-    every = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("__row")
-    return docs.select(*names, every)
+    return docs.select(*names, whole_row(docs))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,15 +69,41 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(whole_rows(docs, "doc_id", "source"), carry=("__row",)).orderBy("position").select("__row.*")
 
 
+def in_order(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, Column, Table | None]:
+    """Rows, their number from 0 in the order of ``docs``, and the table written for it, if any.
+
+    A Parquet table is taken in the order of its part files; readers deal these out by size, so a row's number is what
+    the files before its own hold, plus its place there. The driver gets a row per file. Other plans are written first.
+    """
+    plan, made = docs._jdf.queryExecution().analyzed(), None
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().toString() != "parquet":
+        made = Table(spark, docs, "ordered")
+        docs = made.df
+    file, place = docs.metadataColumn("_metadata")["file_path"], docs.metadataColumn("_metadata")["row_index"]
+    counts = {r[0]: r[1] for r in docs.select(file.alias("file")).groupBy("file").count().collect()}
+
+    def key(path: str) -> tuple:
+        part = re.search(r"/part-(\d+)-[^/]*?(?:-c(\d+))?\.[^/]*$", path)
+        return (0, int(part[1]), int(part[2] or 0), path) if part else (1, 0, 0, path)
+
+    files = sorted(counts, key=key)
+    starts = spark.createDataFrame(list(zip(files, itertools.accumulate((counts[f] for f in files), initial=0), strict=False)), "__file string, __start long")
+    numbered = docs.join(F.broadcast(starts), file == F.col("__file"))
+    return numbered, F.col("__start") + place, made
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their size, text_crc32, law, shard (0 to 7) and slot.
 
-    Readers do not keep the order of files, so the places in the mixture are computed again: documents are dealt to the
-    shards by them, and each shard read by slot holds the sources at their target weights. A null text counts as empty.
-    A column of the documents that has the name of one of these five is returned as document_<name>.
+    Documents are dealt to the shards in the order that the mixing stage has left in ``docs`` (its files, if it is a
+    table), so each shard read by slot holds the sources at their target weights. A null text counts as empty. A column
+    of the documents that has the name of one of these five is returned as document_<name>.
     """
-    mixed = mix_sources(whole_rows(docs, "doc_id", "source"), carry=("__row",)).select("doc_id", F.col("__row.text").alias("text"), "__row", "position")
+    rows, number, written = in_order(spark, docs)
+    mixed = rows.select("doc_id", "text", whole_row(docs), number.alias("position"))
     placed = shard_documents(mixed, 8, order_col="position", carry=("__row",))
+    if written:
+        written.drop()
     made = ("size", "text_crc32", "law", "shard", "slot")
     old = [placed["__row"].getField(c).alias(f"document_{c}" if c.lower() in made else c) for c in docs.columns]
     return placed.select(*old, *made)

@@ -103,3 +103,20 @@ def test_run_against_brute_force(spark, tmp_path):
     for (i, text, source), (shard, slot) in zip(left, brute.shards([t for _, t, _ in left], 8, dealt=True), strict=True):
         r = got[i]
         assert (r.text, r.source, r.shard, r.slot, r.law, r.size, r.text_crc32) == (text, source, shard, slot, "rows", len((text or "").encode()) + 1, brute.crc(text))
+
+
+def test_sharding_follows_the_order_of_the_files_it_gets(spark, tmp_path):
+    """What the mixing stage writes decides shard and slot, whatever the sizes of its files; so does the order of a plan."""
+    ids = random.Random(3).sample(range(1000), 200)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for part, (a, b) in enumerate([(0, 3), (3, 120), (120, 121), (121, 200)]):
+        rows = [(i, f"text {i}", "en", "ab"[i % 2], 1) for i in ids[a:b]]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"one{part}"))
+        (made,) = (tmp_path / f"one{part}").glob("part-*.parquet")
+        (tmp_path / "documents").mkdir(exist_ok=True)
+        made.rename(tmp_path / "documents" / made.name.replace("part-00000", f"part-{part:05d}"))
+    table = spark.read.parquet(f"file://{tmp_path}/documents")
+    plan = spark.createDataFrame([(i, f"text {i}", "en", "ab"[i % 2], 1) for i in ids], schema)
+    for docs in (table, plan):
+        got = {r.doc_id: (r.shard, r.slot) for r in corpus_pipeline.shard(spark, docs, SF).collect()}
+        assert got == {i: (n % 8, n // 8) for n, i in enumerate(ids)}
